@@ -165,39 +165,53 @@ def _skeleton(domain: str) -> str:
     return re.sub("[^a-z.-]", "", t.replace("rn", "m"))
 
 
-def lookalike(host: Column, plain: Column, domain: Column, plain_domain: Column, genuine_first: bool = False) -> Column:
-    """The brand that a host imitates: a struct (brand, legit, kind), null if none or genuine.
+def _more(u: Column, keep: tuple[str, ...], **columns: Column) -> Column:
+    """A struct with the named fields of ``u`` and more."""
+    return F.struct(*[u[c].alias(c) for c in keep], *[c.alias(k) for k, c in columns.items()])
+
+
+def described(parsed: Column, suffixes: tuple[str, ...] = SUFFIXES, genuine_first: bool = False) -> Column:
+    """Parsed links with domain and like: the brand that the host imitates (brand, legit, kind), null if none or genuine.
 
     Brands and their domains are tried in order and the first that says anything decides:
     the host is genuine, or a homoglyph, subdomain, compound or typo look-alike. With
-    ``genuine_first`` a host that any entry knows as genuine is genuine.
+    ``genuine_first`` a host that any entry knows as genuine is genuine. Each step is a pass
+    over the links, so that nothing is evaluated twice.
     """
     rows = [(b, d, _skeleton(d)) for b, domains, _ in BRANDS for d in domains]
     table = F.array(*[F.struct(F.lit(b).alias("brand"), F.lit(d).alias("legit"), F.lit(s).alias("reads"), F.lit(s.split(".")[0]).alias("label")) for b, d, s in rows])
-    own = skeleton(plain_domain)
-    label = F.split(own, r"\.")[0]
-    labels = F.split(plain, r"\.")
-    above = F.transform(F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0))), skeleton)
-    facts = F.struct(own.alias("own"), label.alias("label"), above.alias("above"), F.split(label, "-").alias("parts"))
+    base = ("url", "host", "shown")
 
-    def judge(fact: Column) -> Column:
+    def read(u: Column) -> Column:
+        labels = F.split(u["plain"], r"\.")
+        n = F.size(F.split(u["domain"], r"\."))
+        above = F.transform(F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0))), lambda x: skeleton(x))
+        return _more(u, (*base, "domain"), own=skeleton(F.array_join(F.slice(labels, -n, n), ".")), above=above)
+
+    def judge(u: Column) -> Column:
         def kind(b: Column) -> Column:
-            far = F.levenshtein(fact["label"], b["label"], 2)
-            genuine = (domain == b["legit"]) | (host == b["legit"]) | F.endswith(host, F.concat(F.lit("."), b["legit"]))
+            far = F.levenshtein(u["label"], b["label"], 2)
             return (
-                F.when(genuine, "genuine")
-                .when(fact["own"] == b["reads"], "homoglyph")
-                .when(F.array_contains(fact["above"], b["label"]), "subdomain")
-                .when((F.size(fact["parts"]) > 1) & F.array_contains(fact["parts"], b["label"]), "compound")
-                .when((fact["label"] != b["label"]) & (F.length(fact["label"]) >= 4) & (far >= 0) & (far <= F.when(F.length(b["label"]) > 8, 2).otherwise(1)), "typo")
+                F.when((u["domain"] == b["legit"]) | (u["host"] == b["legit"]) | F.endswith(u["host"], F.concat(F.lit("."), b["legit"])), "genuine")
+                .when(u["own"] == b["reads"], "homoglyph")
+                .when(F.array_contains(u["above"], b["label"]), "subdomain")
+                .when((F.size(u["parts"]) > 1) & F.array_contains(u["parts"], b["label"]), "compound")
+                .when((u["label"] != b["label"]) & (F.length(u["label"]) >= 4) & (far >= 0) & (far <= F.when(F.length(b["label"]) > 8, 2).otherwise(1)), "typo")
             )
 
         hits = F.filter(F.transform(table, lambda b: F.struct(b["brand"].alias("brand"), b["legit"].alias("legit"), kind(b).alias("kind"))), lambda h: h["kind"].isNotNull())
-        first = F.get(hits, F.lit(0))
-        real = F.exists(hits, lambda h: h["kind"] == "genuine") if genuine_first else first["kind"] == "genuine"
-        return F.when(~real, first)
-
-    return F.transform(F.array(facts), judge)[0]
+        return _more(u, (*base, "domain"), hits=hits)
+
+    def decide(u: Column) -> Column:
+        first = F.get(u["hits"], F.lit(0))
+        real = F.exists(u["hits"], lambda h: h["kind"] == "genuine") if genuine_first else first["kind"] == "genuine"
+        return _more(u, (*base, "domain"), like=F.when(~real, first))
+
+    links = F.transform(parsed, lambda u: _more(u, (*base, "plain"), domain=registrable_domain(u["host"], suffixes)))
+    links = F.transform(links, read)
+    links = F.transform(links, lambda u: _more(u, (*base, "domain", "own", "above"), label=F.split(u["own"], r"\.")[0]))
+    links = F.transform(links, lambda u: _more(u, (*base, "domain", "own", "above", "label"), parts=F.split(u["label"], "-")))
+    return F.transform(F.transform(links, judge), decide)
 
 
 def mixes_scripts(shown: Column) -> Column:

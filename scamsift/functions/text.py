@@ -8,13 +8,16 @@ Null texts are treated as empty.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .constants import CONFUSABLES
 
+#: An ASCII word boundary: Java's ``\\b`` also knows letters of other scripts, which the patterns don't.
+EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 #: White space as scripts on the web know it.
 SPACE = "[\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
 # Digits and signs that stand for letters.
@@ -84,29 +87,43 @@ def tokens(text: Column) -> Column:
 
 def ngrams(words: Column, longest: int = 2) -> Column:
     """All runs of 1 to ``longest`` tokens, joined by a space: shorter ones first, each in the order of the text."""
-    out = words
-    for n in range(2, longest + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-        out = F.concat(out, F.transform(starts, lambda i, n=n: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)])))
+    return let(words, lambda w: F.concat(*[_runs(w, n) for n in range(1, longest + 1)]))
+
+
+def _runs(words: Column, n: int) -> Column:
+    out, left = words, F.greatest(F.size(words) - n + 1, F.lit(0))
+    for k in range(1, n):
+        out = F.zip_with(F.slice(out, 1, left), F.slice(words, k + 1, left), lambda a, b: F.concat_ws(" ", a, b))
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often it is used (also within lambdas)."""
+    return F.transform(F.array(value), body)[0]
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with more columns, each evaluated once a row: later uses can't inline the expression again.
+
+    A generator of one row stands between; plain projections may be merged with what uses them.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def emails(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EMAIL), F.lit(0)), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EMAIL), F.lit(0)), lambda e: F.lower(e)))
 
 
 def urls(text: Column) -> Column:
     """Links in the order of the text, each once. The domain of an e-mail address counts as a link."""
-    from ..operators.logic import java
-
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?i)" + java(URL).replace(r"\s", SPACE[1:-1])), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?i)" + URL.replace(r"\b", EDGE).replace(r"\s", SPACE[1:-1])), F.lit(0))
     kept = F.filter(found, lambda u: ~u.rlike("(?i)^[a-z0-9._%+-]+@"))
     cut = F.transform(kept, lambda u: F.regexp_replace(u, "[.,;:!?)]+$", ""))
     return F.array_distinct(F.filter(cut, lambda u: u.contains(".")))
 
 
 def phones(text: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PHONE), F.lit(0)), F.trim)
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PHONE), F.lit(0)), lambda p: F.trim(p))
     return F.array_distinct(F.filter(found, lambda p: F.length(F.regexp_replace(p, r"\D", "")) >= 8))
 
 
@@ -117,6 +134,6 @@ def truncate(text: Column, n: int = 60) -> Column:
 
 def relative_time(then: Column, now: Column) -> Column:
     """How long ago, in words: minutes, hours and days are rounded half up."""
-    minutes = F.floor((F.unix_millis(now) - F.unix_millis(then)) / 60000 + 0.5)
+    minutes = F.floor((F.unix_millis(now.cast("timestamp")) - F.unix_millis(then.cast("timestamp"))) / 60000 + 0.5)
     hours, days = F.floor(minutes / 60 + 0.5), F.floor(F.floor(minutes / 60 + 0.5) / 24 + 0.5)
     return F.when(minutes < 1, "just now").when(minutes < 60, F.concat(minutes, F.lit("m ago"))).when(hours < 24, F.concat(hours, F.lit("h ago"))).otherwise(F.concat(days, F.lit("d ago")))

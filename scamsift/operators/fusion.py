@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .rules import total
 
 # Thresholds of the fused score.
@@ -67,9 +68,9 @@ def merge_opinions(verdicts: DataFrame, opinions: DataFrame, key: str = "msg_id"
     score = F.when((F.size("reasons") > 0) & (F.col("score") >= DANGEROUS_AT), F.greatest(theirs, F.lit(DANGEROUS_AT))).otherwise(theirs)
     shape = joined.schema["reasons"].dataType.elementType
     new = F.transform(F.coalesce("o_reasons", F.array().cast("array<string>")), lambda d: F.struct(*[(F.lit("second_opinion") if f.name == "id" else d if f.name == "detail" else F.lit(None)).cast(f.dataType).alias(f.name) for f in shape]))
-    every = F.concat(new, F.col("reasons"))
     start = lambda r: F.lower(F.substring(r["detail"], 1, REASON_KEY))
-    merged = F.filter(every, lambda r, i: (i == 0) | ~F.exists(F.slice(every, 1, F.greatest(i, F.lit(1))), lambda b: start(b) == start(r)))
+    alike = lambda r: lambda b: start(b) == start(r)
+    merged = let(F.concat(new, F.col("reasons")), lambda every: F.filter(every, lambda r, i: (i == 0) | ~F.exists(F.slice(every, 1, F.greatest(i, F.lit(1))), alike(r))))
     out = joined.withColumn("score", F.when(there, score).otherwise(F.col("score"))).withColumn("reasons", F.when(there, merged).otherwise(F.col("reasons")))
     out = out.withColumn("verdict", F.when(there, verdict(F.col("score"))).otherwise(F.col("verdict")))
     out = out.withColumn("tier", F.when(there, "second-opinion").when(failed, "second-opinion-failed").otherwise("local")).withColumn("reached", F.when(failed, F.coalesce("o_sent", F.lit(False))))

@@ -66,14 +66,22 @@ def related(words: Column, domain: Column) -> Column:
     return F.exists(words, lambda w: (F.length(w) >= 4) & F.lower(domain).contains(F.lower(w)))
 
 
-def page_signals(domain: Column, title: Column, body: Column, credentials: Column, form_domains: Column, flagged: Column) -> Column:
+def without_sso(text: Column) -> Column:
+    return F.regexp_replace(text, java(SSO_PHRASE), " ")
+
+
+def lead_of(body: Column) -> Column:
+    return without_sso(F.substring(body, 1, LEAD))
+
+
+def page_signals(domain: Column, title: Column, shown_title: Column, lead: Column, body: Column, credentials: Column, form_domains: Column, flagged: Column) -> Column:
     """Signals of a page.
 
-    ``form_domains`` are the registrable domains of its form targets in order, ``flagged``
+    ``shown_title`` and ``lead`` are the title and the start of the body without phrases such
+    as "sign in with"; ``form_domains`` are the registrable domains of its form targets in order, ``flagged``
     the brands that its links already imitate. The first brand that the page poses as
     counts; without one, a form that posts to an unrelated domain may.
     """
-    shown_title, lead = F.regexp_replace(title, java(SSO_PHRASE), " "), F.regexp_replace(F.substring(body, 1, LEAD), java(SSO_PHRASE), " ")
     ok = (F.size(credentials) > 0) & (F.length(body) <= THIN)
     asks = F.when(F.array_contains(credentials, "password"), F.when(F.array_contains(credentials, "otp"), "a password and a one-time code").otherwise("a password")).otherwise("a one-time code")
     foreign = F.get(F.filter(form_domains, lambda d: (d != "") & (d != domain)), F.lit(0))
@@ -97,9 +105,8 @@ def page_signals(domain: Column, title: Column, body: Column, credentials: Colum
     return F.coalesce(F.when(ok, F.array_compact(found)), F.array().cast(_NONE))
 
 
-def message_signals(text: Column, links: Column, flagged: Column) -> Column:
-    """A message that names a brand, has a pretext and links to a sign-in page off the brand's domains: the first such brand."""
-    clean = F.regexp_replace(text, java(SSO_PHRASE), " ")
+def message_signals(clean: Column, links: Column, flagged: Column) -> Column:
+    """A message that names a brand, has a pretext and links to a sign-in page off the brand's domains: the first such brand. ``clean``: see ``without_sso``."""
 
     def claim(name: str, domains: tuple[str, ...], aliases: tuple[str, ...]) -> Column:
         foreign = F.get(F.filter(links, lambda u: u["url"].rlike(java(CREDENTIAL_PATH)) & ~u["domain"].isin(*domains)), F.lit(0))

@@ -6,18 +6,31 @@ stays inside whole-stage code generation, and to DuckDB SQL for checking.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: An ASCII word boundary: Java's ``\b`` also knows letters of other scripts, which the rules don't.
-EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-
+from ..functions.text import EDGE, let
 
 def java(pattern: str) -> str:
-    return pattern.replace(r"\b", EDGE)
+    """The pattern for Java, whose ``\\b`` would also count letters of other scripts.
+
+    A boundary that opens a word only has to look back and one that closes a word only
+    ahead, as the character on its other side belongs to the word. Only where a word can
+    end in white space the full test stays.
+    """
+    if r"re:\s" in pattern:
+        return pattern.replace(r"\b", EDGE)
+    out, at = [], 0
+    for m in re.finditer(r"\\b", pattern):
+        before = pattern[: m.start()]
+        opens = not before or before[-1] in "(|:}*" or before.endswith((r"\s", ")?", "?:")) or (before.endswith("^") and not before.endswith("[^")) or re.search(r"\(\?[a-z]+\)$", before) is not None
+        out += [pattern[at : m.start()], "(?<![A-Za-z0-9_])" if opens else "(?![A-Za-z0-9_])"]
+        at = m.end()
+    return "".join([*out, pattern[at:]])
 
 
 @dataclass(frozen=True)
@@ -152,19 +165,23 @@ class WithoutNear(Body):
     part: Body
 
     def column(self, t, context):
-        found, between = F.regexp_extract_all(t, F.lit(java(self.pattern)), F.lit(0)), F.split(t, java(self.pattern))
+        def walk(p: Column) -> Column:
+            found, between, text = p["found"], p["between"], p["t"]
+
+            def step(state: Column, i: Column) -> Column:
+                match, gap = F.get(found, i), F.get(between, i)
+                at = state["at"] + F.length(gap)
+                start = F.greatest(F.lit(0), at - self.reach)
+                around = F.substring(text, start + 1, at + F.length(match) + self.reach - start)
+                kept = F.when(around.rlike(java(self.near)), " ").otherwise(match)
+                return F.struct((at + F.length(match)).alias("at"), F.concat(state["out"], gap, kept).alias("out"))
 
-        def step(state: Column, i: Column) -> Column:
-            match, gap = F.get(found, i), F.get(between, i)
-            at = state["at"] + F.length(gap)
-            start = F.greatest(F.lit(0), at - self.reach)
-            around = F.substring(t, start + 1, at + F.length(match) + self.reach - start)
-            kept = F.when(around.rlike(java(self.near)), " ").otherwise(match)
-            return F.struct((at + F.length(match)).alias("at"), F.concat(state["out"], gap, kept).alias("out"))
+            first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+            walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step, lambda s: F.concat(s["out"], F.coalesce(F.get(between, F.size(found)), F.lit(""))))
+            return F.when(F.size(found) > 0, walked).otherwise(text)
 
-        first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-        walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step, lambda s: F.concat(s["out"], F.coalesce(F.get(between, F.size(found)), F.lit(""))))
-        return self.part.column(F.when(F.size(found) > 0, walked).otherwise(t), context)
+        parts = F.struct(F.regexp_extract_all(t, F.lit(java(self.pattern)), F.lit(0)).alias("found"), F.split(t, java(self.pattern)).alias("between"), t.alias("t"))
+        return let(let(parts, walk), lambda x: self.part.column(x, context))
 
     def sql(self, t, context):
         # As a text-wide test: enough for texts in which the words stand together.
@@ -191,9 +208,12 @@ class InWindow(Body):
     part: Body
 
     def column(self, t, context):
-        cut = F.split(F.regexp_replace(t, r"([.!?।])\s+", "$1\n"), r"\n+")
-        pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(cut) - 2)), lambda i: F.concat_ws(" ", F.get(cut, i), F.get(cut, i + 1)))
-        return F.exists(F.when(F.size(cut) <= 2, F.array(t)).otherwise(pairs), lambda w: self.part.column(w, context))
+        def pairs(cut: Column) -> Column:
+            two = F.zip_with(F.slice(cut, 1, F.size(cut) - 1), F.slice(cut, 2, F.size(cut) - 1), lambda a, b: F.concat_ws(" ", a, b))
+            return F.when(F.size(cut) <= 2, F.array(F.array_join(cut, " "))).otherwise(two)
+
+        windows = let(F.split(F.regexp_replace(t, r"([.!?।])\s+", "$1\n"), r"\n+"), pairs)
+        return F.exists(windows, lambda w: self.part.column(w, context))
 
     def sql(self, t, context):
         cut = f"string_split_regex(regexp_replace({t}, '([.!?।])\\s+', '\\1' || chr(10), 'g'), '\\n+')"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .logic import AtLeast, Has, InClause, InWindow, Known, Rule, Without, WithoutNear, excluded, java
@@ -239,17 +239,23 @@ def _fired(rules: tuple[Rule, ...], t: Column, context: dict[str, Column]) -> Co
     return F.array_compact(F.array(*each))
 
 
-def evaluate(t: Column, has_credential_form: Column | None = None, on_official_domain: Column | None = None) -> Column:
-    """A struct (score, signals, exonerating, no_ask) for normalised text ``t``.
+def evaluate(rows: DataFrame, t: str, has_credential_form: Column | None = None, on_official_domain: Column | None = None, prefix: str = "rule_") -> DataFrame:
+    """``rows`` with rule_signals, rule_exonerating, rule_score and no_ask for the normalised text in column ``t``.
 
     Signals come in rule order. Exonerating rules count only where no signal is severe; the
     score isn't negative. ``no_ask`` says that the text names no action, in either case.
+    All rules are evaluated in one pass over the text, each once.
     """
     no = F.lit(False)
     context = {"has_credential_form": has_credential_form if has_credential_form is not None else no, "on_official_domain": on_official_domain if on_official_domain is not None else no}
-    signals = _fired(RULES, t, context)
-    severe = F.exists(signals, lambda s: s["weight"] >= SEVERE_AT)
-    exonerating = F.when(severe, F.array().cast(f"array<{SIGNAL}>")).otherwise(_fired(EXONERATING, t, context))
-    return F.struct(
-        F.greatest(F.lit(0.0), total(signals) + total(exonerating)).alias("score"), signals.alias("signals"), exonerating.alias("exonerating"), (~t.rlike(java(ACTION_REQUEST))).alias("no_ask")
-    )
+
+    def fired(x: Column) -> Column:
+        return F.struct(_fired(RULES, x, context).alias("signals"), _fired(EXONERATING, x, context).alias("mild"), (~x.rlike(java(ACTION_REQUEST))).alias("no_ask"))
+
+    def weighed(y: Column) -> Column:
+        severe = F.exists(y["signals"], lambda s: s["weight"] >= SEVERE_AT)
+        kept = F.when(severe, F.array().cast(f"array<{SIGNAL}>")).otherwise(y["mild"])
+        return F.struct(y["signals"].alias(f"{prefix}signals"), kept.alias(f"{prefix}exonerating"), y["no_ask"].alias("no_ask"))
+
+    rows = rows.select("*", F.inline(F.transform(F.transform(F.array(F.col(t)), fired), weighed)))
+    return rows.withColumn(f"{prefix}score", F.greatest(F.lit(0.0), total(F.col(f"{prefix}signals")) + total(F.col(f"{prefix}exonerating"))))

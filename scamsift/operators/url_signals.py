@@ -5,25 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.constants import BRAND_DOMAINS, RISKY_TLDS, SHORTENERS, SUFFIXES
-from ..functions.domains import lookalike, mixes_scripts, registrable_domain
+from ..functions.constants import BRAND_DOMAINS, RISKY_TLDS, SHORTENERS
+from ..functions.domains import mixes_scripts
+from ..functions.text import let
 from .logic import java
 from .rules import SIGNAL, signal
 
 CREDENTIAL_PATH = r"(?i)\/(login|signin|verify|secure|account|update|confirm|billing|kyc|otp)\b"
 
 
-def describe(parsed: Column, suffixes: tuple[str, ...] = SUFFIXES, genuine_first: bool = False) -> Column:
-    """Parsed links (see ``domains.parse_urls``) with domain and look-alike (brand, legit, kind)."""
-
-    def one(u: Column) -> Column:
-        domain = registrable_domain(u["host"], suffixes)
-        plain = F.array_join(F.slice(F.split(u["plain"], r"\."), -F.size(F.split(domain, r"\.")), F.size(F.split(domain, r"\."))), ".")
-        return F.struct(u["url"].alias("url"), u["host"].alias("host"), u["shown"].alias("shown"), domain.alias("domain"), lookalike(u["host"], u["plain"], domain, plain, genuine_first).alias("like"))
-
-    return F.transform(parsed, one)
-
-
 def _signals(u: Column, i: Column) -> Column:
     like, host, domain = u["like"], u["host"], u["domain"]
     tld = F.element_at(F.split(domain, r"\."), -1)
@@ -49,9 +39,11 @@ def _signals(u: Column, i: Column) -> Column:
 
 def link_signals(links: Column) -> Column:
     """Signals of described links, each (id, detail) once, in the order of links and checks."""
-    every = F.array_compact(F.flatten(F.transform(links, _signals)))
-    keep = lambda s, i: ~F.exists(F.slice(every, 1, F.greatest(i, F.lit(1))), lambda b: (b["id"] == s["id"]) & (b["detail"] == s["detail"]) & (b["ord"] < s["ord"]))
-    return F.coalesce(F.filter(every, keep), F.array().cast(f"array<{SIGNAL}>"))
+    def once(every: Column) -> Column:
+        same = lambda s: lambda b: (b["id"] == s["id"]) & (b["detail"] == s["detail"])
+        return F.filter(every, lambda s, i: (i == 0) | ~F.exists(F.slice(every, 1, F.greatest(i, F.lit(1))), same(s)))
+
+    return F.coalesce(let(F.array_compact(F.flatten(F.transform(links, _signals))), once), F.array().cast(f"array<{SIGNAL}>"))
 
 
 def feed_key(url: Column) -> Column:

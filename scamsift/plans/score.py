@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import BRAND_DOMAINS, SUFFIXES
-from ..functions.domains import parse_urls, registrable_domain
-from ..functions.text import rule_text, urls
+from ..functions.domains import described, parse_urls, registrable_domain
+from ..functions.text import once, rule_text, urls
 from ..operators import fusion, impersonation, model, policy, rules, url_signals
 from ..sources.feed import first_match, redirects
 
@@ -43,7 +43,7 @@ def score(
     out decomposition and look-alikes in texts known to be ASCII.
     """
     rows = _prepared(messages)
-    rows = rows.withColumn("__found", F.array_distinct(F.concat(urls(F.col("text")), F.filter("extra_urls", lambda u: u.isNotNull()))))
+    rows = once(rows, __found=F.array_distinct(F.concat(urls(F.col("text")), F.filter("extra_urls", lambda u: u.isNotNull()))))
     if redirect_table is not None:
         rows = rows.join(redirects(rows, redirect_table, key, "__found"), key, "left").withColumn("shortener_resolved", F.col("resolved").isNotNull())
         rows = rows.withColumn("__found", F.array_distinct(F.concat("__found", F.coalesce("resolved", F.array().cast("array<string>"))))).drop("resolved")
@@ -51,36 +51,40 @@ def score(
         rows = rows.withColumn("shortener_resolved", F.lit(False))
     is_page = F.coalesce(F.col("page.url") != "", F.lit(False))
     wanted = F.concat(F.col("__found"), F.array(F.when(is_page, F.col("page.url"))), F.when(is_page, F.coalesce("page.form_targets", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
-    rows = rows.withColumn("__page", is_page).withColumn("__parsed", parse_urls(wanted)).withColumn("__t", rule_text(F.col("text"), unicode))
-    rows = rows.withColumn("links", url_signals.describe(F.filter("__parsed", lambda u: F.array_contains(F.col("__found"), u["url"])), suffixes, genuine_first))
-    rows = rows.withColumn("links", F.array_distinct("links")).withColumn("__url", url_signals.link_signals(F.col("links")))
+    rows = once(rows.withColumn("__page", is_page).withColumn("__parsed", parse_urls(wanted)), __t=rule_text(F.col("text"), unicode))
+    rows = once(rows, __links=described(F.filter("__parsed", lambda u: F.array_contains(F.col("__found"), u["url"])), suffixes, genuine_first))
+    rows = once(rows, links=F.array_distinct("__links"))
+    rows = once(rows, __url=url_signals.link_signals(F.col("links")))
     host_of = lambda url: F.get(F.filter("__parsed", lambda u: u["url"] == url), F.lit(0))["host"]
-    rows = rows.withColumn("__domain", F.when(F.col("__page"), registrable_domain(host_of(F.col("page.url")), suffixes)))
-    rows = rows.withColumn("__forms", F.when(F.col("__page"), F.transform("page.form_targets", lambda u: F.coalesce(registrable_domain(host_of(u), suffixes), F.lit("")))))
+    rows = once(rows, __domain=F.when(F.col("__page"), registrable_domain(host_of(F.col("page.url")), suffixes)))
+    rows = once(rows, __forms=F.when(F.col("__page"), F.transform("page.form_targets", lambda u: F.coalesce(registrable_domain(host_of(u), suffixes), F.lit("")))))
     if feed is not None:
         hits = first_match(rows.select(key, "__found"), feed, key, "__found")
         rows = rows.join(hits, key, "left").withColumn("__url", F.when(F.col("feed_url").isNotNull(), F.concat("__url", F.array(url_signals.feed_signal(F.col("feed_url"))))).otherwise(F.col("__url"))).drop("feed_url")
 
     credentials = F.coalesce("page.credential_fields", F.array().cast("array<string>"))
-    rows = rows.withColumn("__rules", rules.evaluate(F.col("__t"), F.col("__page") & (F.size(credentials) > 0), F.coalesce(F.col("__domain").isin(*BRAND_DOMAINS), F.lit(False))))
-    flagged = F.array_distinct(F.transform(F.filter("__url", lambda s: s["brand"].isNotNull()), lambda s: s["brand"]))
-    of_page = impersonation.page_signals(F.col("__domain"), F.coalesce("page.title", F.lit("")), F.coalesce("page.text", "text"), credentials, F.coalesce("__forms", F.array().cast("array<string>")), flagged)
-    of_message = impersonation.message_signals(F.col("text"), F.col("links"), flagged)
+    rows = rules.evaluate(rows, "__t", F.col("__page") & (F.size(credentials) > 0), F.coalesce(F.col("__domain").isin(*BRAND_DOMAINS), F.lit(False)), prefix="__rule_")
+    rows = once(rows, __flagged=F.array_distinct(F.transform(F.filter("__url", lambda s: s["brand"].isNotNull()), lambda s: s["brand"])))
+    flagged = F.col("__flagged")
+    title, body = F.coalesce("page.title", F.lit("")), F.coalesce("page.text", "text")
+    rows = once(rows, __clean=impersonation.without_sso(F.col("text")), __title=impersonation.without_sso(title), __lead=impersonation.lead_of(body))
+    of_page = impersonation.page_signals(F.col("__domain"), title, F.col("__title"), F.col("__lead"), body, credentials, F.coalesce("__forms", F.array().cast("array<string>")), flagged)
+    of_message = impersonation.message_signals(F.col("__clean"), F.col("links"), flagged)
     none = F.array().cast(f"array<{rules.SIGNAL}>")
-    rows = rows.withColumn("__imp", F.when(F.col("__page"), F.when(F.col("__domain").isNotNull(), of_page).otherwise(none)).otherwise(of_message))
-    rows = rows.withColumn("signals", F.concat("__rules.signals", "__url", "__imp"))
-    rows = rows.withColumn("raw_score", F.col("__rules.score") + rules.total(F.col("__url")) + rules.total(F.col("__imp")))
+    rows = once(rows, __imp=F.when(F.col("__page"), F.when(F.col("__domain").isNotNull(), of_page).otherwise(none)).otherwise(of_message))
+    rows = rows.withColumn("signals", F.concat("__rule_signals", "__url", "__imp"))
+    rows = rows.withColumn("raw_score", F.col("__rule_score") + rules.total(F.col("__url")) + rules.total(F.col("__imp")))
 
     if weights is not None:
         rows = rows.join(model.score(rows.select(key, "text"), weights, key, "text", unicode), key, "left")
         pulled = fusion.pull(F.col("model.probability"), F.col("model.available"), F.col("__page"))
     else:
         rows, pulled = rows.withColumn("model", F.lit(None).cast("struct<probability:double,known_terms:int,matched_terms:array<struct<term:string,weight:double>>,available:boolean>")), F.lit(0.0)
-    exact = fusion.fuse(F.col("raw_score"), F.col("signals"), F.col("__rules.no_ask"), F.size("__found") > 0, pulled)
-    rows = rows.withColumn("exact_score", exact).withColumn("verdict", fusion.verdict(F.col("exact_score"))).withColumn("score", fusion.rounded(F.col("exact_score")))
-    rows = rows.withColumn("reasons", fusion.ordered(F.col("signals"))).withColumn("exonerating", F.col("__rules.exonerating")).withColumn("no_ask", F.col("__rules.no_ask"))
+    exact = fusion.fuse(F.col("raw_score"), F.col("signals"), F.col("no_ask"), F.size("__found") > 0, pulled)
+    rows = once(rows, exact_score=exact).withColumn("verdict", fusion.verdict(F.col("exact_score"))).withColumn("score", fusion.rounded(F.col("exact_score")))
+    rows = rows.withColumn("reasons", fusion.ordered(F.col("signals"))).withColumn("exonerating", F.col("__rule_exonerating"))
     rows = rows.withColumn("escalate", fusion.should_escalate(F.col("score"), F.col("verdict"), F.col("reasons")))
-    return rows.drop("__found", "__page", "__parsed", "__t", "__url", "__domain", "__forms", "__rules", "__imp")
+    return rows.drop("__found", "__page", "__parsed", "__t", "__links", "__url", "__domain", "__forms", "__flagged", "__clean", "__title", "__lead", "__rule_signals", "__rule_exonerating", "__rule_score", "__imp")
 
 
 def score_pages(pages: DataFrame, key: str = "page_id", **options) -> DataFrame:

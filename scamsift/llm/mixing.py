@@ -3,8 +3,7 @@
 Token counts are summed by (source, language, topic) cell. The cells are raked: in turn
 for each margin they are scaled so that the margin has its target shares, until all three
 agree. A document's calibrated probability is its cell's factor times a budget, and it is
-taken if a uniform number made from its id lies below. Only DataFrame functions run; the
-cells stay a DataFrame, the driver sees one number a sweep.
+taken if a uniform number made from its id lies below. Only DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ from .common import cut, small
 MARGINS = ("source", "lang", "topic")
 #: Powers that flatten the corpus's own shares into target shares.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.9}
+#: Most pairs of language and topic.
+SHORT_MARGINS = 10_000
 #: Sets of cells up to this many rows are broadcast, larger ones shuffled.
 BROADCAST_CELLS = 100_000
 NONE = "(none)"
@@ -47,40 +48,61 @@ def uniform(key: Column, seed: str) -> Column:
 
 def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     """Target shares of a margin: its token share to a power, scaled to 1. Columns: the margin, share."""
-    sums = cut(cells.groupBy(margin).agg(F.pow(F.sum("n").cast("double"), F.lit(power)).alias("p")))
+    sums = cells.groupBy(margin).agg(F.pow(F.sum("n").cast("double"), F.lit(power)).alias("p"))
     total = sums.agg(F.sum("p")).first()[0]
     return sums.select(margin, (F.col("p") / F.lit(total)).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 200, tolerance: float = 1e-10) -> DataFrame:
+def _lookup(factors: dict[str, float], key: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in factors.items() for x in pair]), key), F.lit(0.0))
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 200, tolerance: float = 1e-11, short: int = SHORT_MARGINS) -> DataFrame:
     """``cells`` (source, lang, topic, n) with weight: raked counts that add up to 1.
 
+    One row a source holds the source's cells, so its own factor is found within the row; a
+    sweep is one distributed sum over sources per (language, topic). Languages times topics
+    are few, at most ``short``, which is checked; their factors are the only numbers that the
+    driver holds, however many sources there are.
+
     A margin's value without a target keeps no weight; target shares of values without any
     cell can't be reached and are shared out by the other values. Ends when a sweep moves
-    no margin by more than ``tolerance`` of its target, or after ``sweeps`` sweeps (margins
-    can contradict each other where cells are empty; the last margin then holds exactly).
+    no factor by more than ``tolerance`` of itself, or after ``sweeps`` sweeps (margins can
+    contradict each other where cells are empty; the last margin then holds exactly).
     """
-    first = cells.withColumn("weight", F.col("n").cast("double"))
-    for margin, target in targets.items():
-        first = first.join(target.select(margin, F.col("share").alias(f"t_{margin}")), margin, "left").fillna(0.0, [f"t_{margin}"])
-    # A set of cells that one task holds with ease needs no exchange; a larger one stays spread out.
-    state = cut(first.coalesce(1) if small(cells, BROADCAST_CELLS) else first)
-    reach = {m: state.groupBy(m).agg(F.first(f"t_{m}").alias("t")).agg(F.sum("t")).first()[0] or 1.0 for m in targets}
-    for _ in range(0, sweeps, 2):
-        step = state
-        for _ in range(2):
-            step = step.withColumn("off", F.lit(0.0))
-            for margin in targets:
-                sums = step.groupBy(margin).agg(F.sum("weight").alias("s"), F.first(f"t_{margin}").alias("t"))
-                scale = sums.select(margin, F.when(F.col("s") > 0, F.col("t") / F.lit(reach[margin]) / F.col("s")).otherwise(0.0).alias("f"))
-                step = step.join(scale, margin).withColumn("weight", F.col("weight") * F.col("f"))
-                step = step.withColumn("off", F.greatest("off", F.when(F.col("f") > 0, F.abs(F.col("f") - 1)).otherwise(0.0))).drop("f")
-        state = cut(step)
-        worst = state.agg(F.max("off")).first()[0]
-        state = state.drop("off")
-        if worst is None or worst <= tolerance:
+    pairs = cells.select("lang", "topic").distinct()
+    if not small(pairs, short):
+        raise ValueError(f"more than {short} pairs of language and topic")
+    want = {}
+    for m in ("lang", "topic"):
+        present = targets[m].join(pairs.select(m).distinct(), m).select(m, "share").collect()
+        total = sum(r["share"] for r in present) or 1.0
+        want[m] = {r[m]: r["share"] / total for r in present}
+    rows = cells.groupBy("source").agg(F.collect_list(F.struct("lang", "topic", "n")).alias("cells"))
+    rows = cut(rows.join(targets["source"].select("source", "share"), "source").where("share > 0"))
+    total = rows.agg(F.sum("share")).first()[0] or 1.0
+    rows = rows.withColumn("share", F.col("share") / F.lit(total))
+    factor = {m: dict.fromkeys(want[m], 1.0) for m in want}
+
+    def fitted(known: dict[str, dict[str, float]]) -> DataFrame:
+        held = F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["n"] * _lookup(known["lang"], c["lang"]) * _lookup(known["topic"], c["topic"]))
+        return rows.select("source", F.when(held > 0, F.col("share") / held).otherwise(0.0).alias("f"), F.explode("cells").alias("c"))
+
+    before = factor
+    for _ in range(sweeps if want["lang"] and want["topic"] else 0):
+        before = {m: dict(factor[m]) for m in factor}
+        sums = fitted(before).groupBy("c.lang", "c.topic").agg(F.sum(F.col("f") * F.col("c.n")).alias("s")).collect()
+        for m in ("lang", "topic"):
+            held = dict.fromkeys(factor[m], 0.0)
+            for r in sums:
+                if r[m] in held:
+                    held[r[m]] += r["s"] * factor["lang"].get(r["lang"], 0.0) * factor["topic"].get(r["topic"], 0.0)
+            factor[m] = {k: f * want[m][k] / held[k] if held[k] > 0 else 0.0 for k, f in factor[m].items()}
+        if all(abs(f - before[m][k]) <= tolerance * f for m in factor for k, f in factor[m].items()):
             break
-    return state.select(*MARGINS, "n", "weight")
+    weight = F.col("f") * F.col("c.n") * _lookup(factor["lang"], F.col("c.lang")) * _lookup(factor["topic"], F.col("c.topic"))
+    raked = fitted(before).select("source", "c.lang", "c.topic", "c.n", weight.alias("weight")) if want["lang"] and want["topic"] else rows.select("source", F.explode("cells").alias("c")).select("source", "c.lang", "c.topic", "c.n", F.lit(0.0).alias("weight"))
+    return raked
 
 
 def probabilities(cells: DataFrame, share: float | None = None) -> DataFrame:
@@ -104,7 +126,7 @@ def describe(docs: DataFrame, text: str = "text") -> list[Column]:
 def calibrated_cells(described: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, share: float | None = None) -> DataFrame:
     cells = cut(described.groupBy(*[F.col(f"__{m}").alias(m) for m in MARGINS]).agg(F.sum("__n").alias("n")))
     targets = targets or {m: tempered(cells, m, p) for m, p in (powers or POWERS).items()}
-    return cut(probabilities(rake(cells, targets), share))
+    return cut(probabilities(cut(rake(cells, targets)), share))
 
 
 def mix(docs: DataFrame, seed: str = "mix", share: float | None = None, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -175,15 +175,15 @@ def _join(found: DataFrame, cosine: float, block: int, max_pivots: int, seed: in
                     at, own = ids[start], []
                 cell = int(at >> 32)
                 n_left = int(group.num_rows - np.count_nonzero(group.column(2).to_numpy(zero_copy_only=False)))
-                for k in range(0, n_left, 1024):
-                    new = rows(group.slice(k, min(1024, n_left - k)))
+                for k in range(0, n_left, 512):
+                    new = rows(group.slice(k, min(512, n_left - k)))
                     for mine in own:
                         yield from compare(cell, mine, new, False)
                         yield from compare(cell, new, mine, False)
                     yield from compare(cell, new, new, True)
                     own.append(new)
-                for k in range(n_left, group.num_rows, 1024):
-                    new = rows(group.slice(k, min(1024, group.num_rows - k)))
+                for k in range(n_left, group.num_rows, 512):
+                    new = rows(group.slice(k, min(512, group.num_rows - k)))
                     for mine in own:
                         yield from compare(cell, mine, new, False)
         yield from flush()

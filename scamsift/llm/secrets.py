@@ -47,6 +47,8 @@ _PAIR = re.compile(
 _PART = re.compile(rf"(?P<text>{_STRING})|(?P<name>{_NAME})", re.ASCII)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 CUTOFF = 0.6
+#: What redaction puts in a secret's place; no secret itself.
+MARK = "[removed]"
 
 
 def name_score(name: str) -> float:
@@ -60,7 +62,7 @@ def name_score(name: str) -> float:
 def literal_score(text: str) -> float:
     """How much a literal looks like a secret, 0 to 1."""
     low = text.lower()
-    if len(text) < 8 or any(c.isspace() for c in text) or low.startswith(("${", "{{", "<", "%(", "http://", "https://")) or any(s in low for s in STAND_INS):
+    if len(text) < 8 or text == MARK or any(c.isspace() for c in text) or low.startswith(("${", "{{", "<", "%(", "http://", "https://")) or any(s in low for s in STAND_INS):
         return 0.0
     counts = Counter(text).values()
     bits = -sum(c / len(text) * math.log2(c / len(text)) for c in counts)
@@ -131,7 +133,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     return annotate(docs, text, "n_assign bigint, n_access bigint, n_hex bigint, n_literal bigint, base_sha256 string, spans string", run)
 
 
-def redact_text(text: str, mark: str = "[removed]") -> str:
+def redact_text(text: str, mark: str = MARK) -> str:
     """``text`` with every secret replaced: of an assignment its value, of other kinds the span.
 
     Removing a span can join characters into a new one, so this goes on until none is left.

@@ -131,7 +131,7 @@ def registrable_domain(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Co
     starts = F.sequence(F.lit(0), n - 1)
     excepted = F.get(F.filter(starts, lambda i: tail(i).isin(exceptions)), F.lit(0)) if exceptions else F.lit(None).cast("int")
     known = F.get(F.filter(starts, lambda i: tail(i).isin(exact) | ((i + 1 < n) & tail(i + 1).isin(wild) if wild else F.lit(False))), F.lit(0))
-    start = F.coalesce(excepted, F.greatest(known - 1, F.lit(0)), F.greatest(n - 2, F.lit(0)))
+    start = F.coalesce(excepted, F.when(known.isNotNull(), F.greatest(known - 1, F.lit(0))), F.greatest(n - 2, F.lit(0)))
     return F.when(host == "", host).otherwise(tail(start))
 
 
@@ -145,7 +145,7 @@ def registrable_sql(host: str, suffixes: tuple[str, ...] = SUFFIXES) -> str:
     starts = f"range(0, len({labels}))"
     first = lambda test: f"list_filter({starts}, lambda i: {test})[1]"
     known = first(f"list_contains({q(exact)}, {tail('i')}) OR (i + 1 < len({labels}) AND list_contains({q(wild)}, {tail('(i + 1)')}))")
-    return tail(f"coalesce({first(f'list_contains({q(exceptions)}, {tail('i')})')}, greatest({known} - 1, 0), greatest(len({labels}) - 2, 0))")
+    return tail(f"coalesce({first(f'list_contains({q(exceptions)}, {tail('i')})')}, CASE WHEN {known} IS NOT NULL THEN greatest({known} - 1, 0) END, greatest(len({labels}) - 2, 0))")
 
 
 def edit_distance(a: Column, b: Column, most: int) -> Column:

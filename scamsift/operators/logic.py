@@ -26,8 +26,7 @@ def java(pattern: str) -> str:
         return pattern.replace(r"\b", EDGE)
     out, at = [], 0
     for m in re.finditer(r"\\b", pattern):
-        before = pattern[: m.start()]
-        opens = not before or before[-1] in "(|:}*" or before.endswith((r"\s", ")?", "?:")) or (before.endswith("^") and not before.endswith("[^")) or re.search(r"\(\?[a-z]+\)$", before) is not None
+        opens = re.match(r"[A-Za-z0-9(]", pattern[m.end() :]) is not None
         out += [pattern[at : m.start()], "(?<![A-Za-z0-9_])" if opens else "(?![A-Za-z0-9_])"]
         at = m.end()
     return "".join([*out, pattern[at:]])

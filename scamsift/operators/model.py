@@ -33,7 +33,8 @@ def terms_of(text: Column, ngram_max: int = 2, folded: bool = True, unicode: boo
 def vocabulary(docs: DataFrame, text: str = "text", min_df: int = 3, max_features: int = 6000, ngram_max: int = 2) -> DataFrame:
     """Terms in at least ``min_df`` rows, the most frequent ones (ties by term), with idf. Columns: term, idx, df, tf, idf."""
     n = docs.count()
-    each = docs.select(F.monotonically_increasing_id().alias("d"), F.explode(terms_of(F.col(text), ngram_max, folded=False)).alias("term"))
+    rows = docs.select(F.monotonically_increasing_id().alias("d"), F.col(text).alias("t"))
+    each = rows.select("d", F.explode(terms_of(F.col("t"), ngram_max, folded=False)).alias("term"))
     counts = each.groupBy("d", "term").agg(F.count(F.lit(1)).alias("c")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("tf"))
     kept = counts.where(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(max_features)
     idx = (F.row_number().over(W.orderBy("term")) - 1).cast("int")  # at most max_features rows

@@ -53,6 +53,7 @@ TEMPLATES: tuple[tuple[int, str, str], ...] = (
     (1, "userinfo", "Sign in at https://www.google.com@login.~u.example.net/verify please"),
     (0, "genuine", "Your receipt ~n is at https://www.amazon.com/orders and https://github.io pages, write to help~u@shop.example.com"),
     (1, "deep", "Open it at http://a.b.c.d~u.example.co.uk/update and log in"),
+    (1, "claim", "PayPal noticed unusual activity, please confirm your details at http://safe-pay~n.net/verify"),
     (0, "plain", "See you on the 5th, seat ~n, by the window"),
 )
 

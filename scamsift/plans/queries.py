@@ -191,11 +191,11 @@ def _feed(spark, sf_dir) -> DataFrame:
     """A feed of plain and CSV lines with comments, made of some events."""
     e = table(spark, sf_dir, "events", "event_id")
     n = F.col("event_id").cast("string")
-    line = F.when(F.col("event_id") % 3 == 0, "# comment").when(F.col("event_id") % 3 == 1, F.concat(F.lit('"x","http://win-big'), n, F.lit('.top/claim/","online"'))).otherwise(F.concat(F.lit("https://bit.ly/x"), n, F.lit("//")))
+    line = F.when(F.col("event_id") % 3 == 0, "# comment").when(F.col("event_id") % 3 == 2, F.concat(F.lit('"x","http://win-big'), n, F.lit('.top/claim/","online"'))).otherwise(F.concat(F.lit("https://bit.ly/x"), n, F.lit("//")))
     return feed.entries(e.select(line.alias("value")))
 
 
-_FEED = "feed AS (SELECT CASE WHEN event_id % 3 = 1 THEN 'http://win-big' || event_id || '.top/claim' ELSE 'https://bit.ly/x' || event_id END AS entry FROM events WHERE event_id % 3 != 0)"
+_FEED = "feed AS (SELECT CASE WHEN event_id % 3 = 2 THEN 'http://win-big' || event_id || '.top/claim' ELSE 'https://bit.ly/x' || event_id END AS entry FROM events WHERE event_id % 3 != 0)"
 
 
 @query(f"WITH {_FEED} SELECT entry FROM feed")
@@ -280,7 +280,7 @@ def q_impersonation(spark, sf_dir):
     return s.groupBy("genre", brand.alias("brand"), weight("offsite_credential_harvest").alias("harvest_weight"), weight("offsite_credential_post").alias("post_weight")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT page_id, regexp_replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '\\s+', ' ', 'g') AS title, len(regexp_extract_all(html, '<a href=')) :: INT AS n_anchors FROM pages")
+@query("SELECT page_id, replace(replace(replace(replace(regexp_replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '\\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS title, len(regexp_extract_all(html, '<a href=')) :: INT AS n_anchors FROM pages")
 def q_page_titles(spark, sf_dir):
     p = pages.collected(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     anchors = F.regexp_count("html", F.lit("<a href="))

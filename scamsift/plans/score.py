@@ -72,7 +72,7 @@ def score(
     of_message = impersonation.message_signals(F.col("__clean"), F.col("links"), flagged)
     none = F.array().cast(f"array<{rules.SIGNAL}>")
     rows = once(rows, __imp=F.when(F.col("__page"), F.when(F.col("__domain").isNotNull(), of_page).otherwise(none)).otherwise(of_message))
-    rows = rows.withColumn("signals", F.concat("__rule_signals", "__url", "__imp"))
+    rows = once(rows, signals=F.concat("__rule_signals", "__url", "__imp"))
     rows = rows.withColumn("raw_score", F.col("__rule_score") + rules.total(F.col("__url")) + rules.total(F.col("__imp")))
 
     if weights is not None:
@@ -82,7 +82,7 @@ def score(
         rows, pulled = rows.withColumn("model", F.lit(None).cast("struct<probability:double,known_terms:int,matched_terms:array<struct<term:string,weight:double>>,available:boolean>")), F.lit(0.0)
     exact = fusion.fuse(F.col("raw_score"), F.col("signals"), F.col("no_ask"), F.size("__found") > 0, pulled)
     rows = once(rows, exact_score=exact).withColumn("verdict", fusion.verdict(F.col("exact_score"))).withColumn("score", fusion.rounded(F.col("exact_score")))
-    rows = rows.withColumn("reasons", fusion.ordered(F.col("signals"))).withColumn("exonerating", F.col("__rule_exonerating"))
+    rows = once(rows, reasons=fusion.ordered(F.col("signals"))).withColumn("exonerating", F.col("__rule_exonerating"))
     rows = rows.withColumn("escalate", fusion.should_escalate(F.col("score"), F.col("verdict"), F.col("reasons")))
     return rows.drop("__found", "__page", "__parsed", "__t", "__links", "__url", "__domain", "__forms", "__flagged", "__clean", "__title", "__lead", "__rule_signals", "__rule_exonerating", "__rule_score", "__imp")
 

@@ -66,12 +66,16 @@ def score(
     rows = rules.evaluate(rows, "__t", F.col("__page") & (F.size(credentials) > 0), F.coalesce(F.col("__domain").isin(*BRAND_DOMAINS), F.lit(False)), prefix="__rule_")
     rows = once(rows, __flagged=F.array_distinct(F.transform(F.filter("__url", lambda s: s["brand"].isNotNull()), lambda s: s["brand"])))
     flagged = F.col("__flagged")
-    title, body = F.coalesce("page.title", F.lit("")), F.coalesce("page.text", "text")
-    rows = once(rows, __clean=impersonation.without_sso(F.col("text")), __title=impersonation.without_sso(title), __lead=impersonation.lead_of(body))
-    of_page = impersonation.page_signals(F.col("__domain"), title, F.col("__title"), F.col("__lead"), body, credentials, F.coalesce("__forms", F.array().cast("array<string>")), flagged)
-    of_message = impersonation.message_signals(F.col("__clean"), F.col("links"), flagged)
-    none = F.array().cast(f"array<{rules.SIGNAL}>")
-    rows = once(rows, __imp=F.when(F.col("__page"), F.when(F.col("__domain").isNotNull(), of_page).otherwise(none)).otherwise(of_message))
+    if "page" in messages.columns:
+        title, body = F.coalesce("page.title", F.lit("")), F.coalesce("page.text", "text")
+        rows = once(rows, __clean=impersonation.without_sso(F.col("text")), __title=impersonation.without_sso(title), __lead=impersonation.lead_of(body))
+        of_page = impersonation.page_signals(F.col("__domain"), title, F.col("__title"), F.col("__lead"), body, credentials, F.coalesce("__forms", F.array().cast("array<string>")), flagged)
+        of_page = F.when(F.col("__domain").isNotNull(), of_page).otherwise(F.array().cast(f"array<{rules.SIGNAL}>"))
+        found = F.when(F.col("__page"), of_page).otherwise(impersonation.message_signals(F.col("__clean"), F.col("links"), flagged))
+    else:
+        rows = once(rows, __clean=impersonation.without_sso(F.col("text")))
+        found = impersonation.message_signals(F.col("__clean"), F.col("links"), flagged)
+    rows = once(rows, __imp=found)
     rows = once(rows, signals=F.concat("__rule_signals", "__url", "__imp"))
     rows = rows.withColumn("raw_score", F.col("__rule_score") + rules.total(F.col("__url")) + rules.total(F.col("__imp")))
 

@@ -15,6 +15,9 @@ from scamsift.llm import bpe, langid, mixing, secrets, simhash
 from scamsift.llm.common import shared_dir, table
 from scamsift.llm.queries import tokenizer
 
+#: Share of the tokens that mixing keeps at least, whatever rare cells there are.
+LEAST_SHARE = 0.35
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; null texts and texts without letters go."""
@@ -33,8 +36,8 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by their calibrated probabilities."""
-    return mixing.sample(docs)
+    """Documents sampled by their calibrated probabilities, at least ``LEAST_SHARE`` of all tokens."""
+    return mixing.sample(docs, least=LEAST_SHARE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,17 +105,42 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 200, tol
     return raked
 
 
-def probabilities(cells: DataFrame, share: float | None = None) -> DataFrame:
+def filled(cells: DataFrame, budget: float, want: float) -> float:
+    """The budget at which cells (``n``, ``factor``) yield ``want`` tokens with probabilities capped at 1.
+
+    The expected yield is concave in the budget and made of straight pieces, so Newton's steps
+    from below never pass the answer and end on its piece; a step is one sum over the cells.
+    Where all tokens of cells with a factor don't suffice, every such cell is taken whole.
+    """
+    while True:
+        p = F.col("factor") * F.lit(budget)
+        whole, open_ = cells.agg(F.sum(F.when(p >= 1, F.col("n")).otherwise(0)), F.sum(F.when(p < 1, F.col("n") * F.col("factor")).otherwise(0.0))).first()
+        if not open_:
+            return budget
+        step = (want - whole) / open_
+        if step <= budget * (1 + 1e-12):
+            return budget
+        budget = step
+
+
+def probabilities(cells: DataFrame, share: float | None = None, least: float = 0.0) -> DataFrame:
     """Raked cells with factor (raked share over own share) and prob.
 
-    ``share`` is the part of all tokens to take; probabilities are cut at 1. None takes the
-    largest part that needs no cutting, so that the sample's expected margins are exact.
+    ``share`` is the part of all tokens to take; probabilities are capped at 1 and what capped
+    cells can't give is spread over the others in proportion to their factors. None takes the
+    largest part that needs no capping, so that the sample's expected margins are exact; but
+    then the rarest cell sets the size of the whole sample, so that a part below ``least`` is
+    raised to ``least``.
     """
     every, top = cells.agg(F.sum("n"), F.max(F.col("weight") / F.col("n"))).first()
     every, top = float(every or 0), top or 1.0
     out = cells.withColumn("factor", F.col("weight") / F.col("n") * F.lit(every))
-    budget = F.lit(float(share) if share is not None else 1 / (top * every) if every else 1.0)
-    return out.withColumn("prob", F.least(F.lit(1.0), F.col("factor") * budget)).select(*MARGINS, "n", "factor", "prob")
+    budget = 1 / (top * every) if every else 1.0
+    if share is None and every and budget < least:
+        share = least
+    if share is not None and every:
+        budget = filled(out, float(share), min(1.0, float(share)) * every)
+    return out.withColumn("prob", F.least(F.lit(1.0), F.col("factor") * F.lit(budget))).select(*MARGINS, "n", "factor", "prob")
 
 
 def describe(docs: DataFrame, text: str = "text") -> list[Column]:
@@ -123,20 +148,20 @@ def describe(docs: DataFrame, text: str = "text") -> list[Column]:
     return [*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NONE)).alias(f"__{c}") for c in ("source", "lang")), topic(F.col(f"`{text}`")).alias("__topic"), tokens(F.col(f"`{text}`")).alias("__n")]
 
 
-def calibrated_cells(described: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, share: float | None = None) -> DataFrame:
+def calibrated_cells(described: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, share: float | None = None, least: float = 0.0) -> DataFrame:
     cells = cut(described.groupBy(*[F.col(f"__{m}").alias(m) for m in MARGINS]).agg(F.sum("__n").alias("n")))
     targets = targets or {m: tempered(cells, m, p) for m, p in (powers or POWERS).items()}
-    return cut(probabilities(cut(rake(cells, targets)), share))
+    return cut(probabilities(cut(rake(cells, targets)), share, least))
 
 
-def mix(docs: DataFrame, seed: str = "mix", share: float | None = None, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", share: float | None = None, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, key: str = "doc_id", text: str = "text", least: float = 0.0) -> DataFrame:
     """Rows ``doc_id``, ``source``, ``lang``, ``topic``, ``n_tokens``, ``factor``, ``prob``, ``sampled`` for all of ``docs``.
 
     Rows with the same id are drawn alike. Null sources and languages count as ``(none)``,
     null and empty texts as prose of one token. An empty table gives no rows.
     """
     rows = cut(docs.select(F.col(f"`{key}`").alias("doc_id"), *describe(docs, text)))
-    cells = calibrated_cells(rows, powers, targets, share)
+    cells = calibrated_cells(rows, powers, targets, share, least)
     joined = _joined(rows, cells)
     return joined.select("doc_id", *[F.col(f"__{m}").alias(m) for m in MARGINS], F.col("__n").alias("n_tokens"), "factor", "prob", (uniform(F.col("doc_id"), seed) < F.col("prob")).alias("sampled"))
 
@@ -147,9 +172,9 @@ def _joined(rows: DataFrame, cells: DataFrame) -> DataFrame:
     return rows.join(side, [f"__{m}" for m in MARGINS])
 
 
-def sample(docs: DataFrame, seed: str = "mix", share: float | None = None, powers: dict[str, float] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sample(docs: DataFrame, seed: str = "mix", share: float | None = None, powers: dict[str, float] | None = None, key: str = "doc_id", text: str = "text", least: float = 0.0) -> DataFrame:
     """The rows of ``docs`` that ``mix`` samples, with the columns of ``docs``."""
-    cells = calibrated_cells(docs.select(*describe(docs, text)), powers, None, share)
+    cells = calibrated_cells(docs.select(*describe(docs, text)), powers, None, share, least)
     side = cells.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("prob").alias("__prob"))
     side = F.broadcast(side) if small(side, BROADCAST_CELLS) else side
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *describe(docs, text)[:3])

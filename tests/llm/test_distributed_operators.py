@@ -154,6 +154,28 @@ def test_mixing_odd_rows(spark):
     assert mixing.sample(docs).columns == docs.columns
 
 
+def test_mixing_with_a_tiny_cell(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.union(spark.createDataFrame([(9001, "one", "en", "a new source", 3)], docs.schema)).cache()
+    cells = mixing.calibrated_cells(docs.select(*mixing.describe(docs)), least=p.LEAST_SHARE).toPandas()
+    assert abs((cells.n * cells.prob).sum() / cells.n.sum() - p.LEAST_SHARE) < 1e-9 and cells.prob.max() == 1
+    open_ = cells[cells.prob < 1]
+    assert len(open_) and np.allclose(open_.prob / open_.factor, (open_.prob / open_.factor).iloc[0])
+    low, high = 0.0, 1e9  # brute force: the budget by bisection
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (cells.n * np.minimum(1, cells.factor * mid)).sum() < p.LEAST_SHARE * cells.n.sum() else (low, mid)
+    assert np.allclose(cells.prob, np.minimum(1, cells.factor * low))
+    for share in (0.9, 1.0):
+        part = mixing.calibrated_cells(docs.select(*mixing.describe(docs)), share=share).toPandas()
+        assert abs((part.n * part.prob).sum() / part.n.sum() - share) < 1e-9
+    kept = dict(p.STAGES)["mixing"](spark, docs, sf)
+    words = mixing.tokens(mixing.F.col("text"))
+    assert kept.select(mixing.F.sum(words)).first()[0] > 0.25 * docs.select(mixing.F.sum(words)).first()[0]
+
+
 def test_sharding(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     odd = spark.createDataFrame([(1, None), (1, None), (None, "é")], "doc_id bigint, text string")

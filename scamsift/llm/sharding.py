@@ -5,19 +5,24 @@ from the multivariate hypergeometric distribution, so that the row sums are the
 partitions' counts and the column sums the shards' sizes. Every partition is permuted and
 cut at the drawn counts; the pieces are exchanged; every shard is permuted again. Each
 arrangement of rows over places is then equally likely, and shard sizes differ by one row
-at most. Only narrow rows move, and the driver holds the matrix alone, whose size is
-bounded by ``parts`` times ``shards``.
+at most. Whole rows move, once; permuting and cutting a partition is dealing its rows the
+permuted labels of their shards, so it needs their positions only. The driver holds the
+matrix, whose size is bounded by ``parts`` times ``shards``, and a count for each partition.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import shared_dir
 
 
 def matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
@@ -73,31 +78,75 @@ def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
             return x
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shuffle_documents(docs: DataFrame, shards: int = 40, seed: int = 42, parts: int = 4096, lanes: int = 64, folder: str | None = None) -> DataFrame:
+    """Whole rows of ``docs`` dealt to ``shards`` and written: all columns, ``shard`` (int) and ``slot`` (long).
+
+    Each shard is a Parquet folder ``shard=N`` in ``folder`` (None: a new one in the shared
+    folder); the rows read back from there are returned. ``slot`` runs from 0 without gaps in
+    each shard. A shard's second permutation runs in ``lanes`` pieces, so that no task holds a
+    whole shard. Null and repeated ids are rows like any other. Columns of the names
+    ``shard`` and ``slot`` are replaced.
+    """
+    spark = docs.sparkSession
+    names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    base = f"{shared_dir(spark)}/sharding-{uuid.uuid4().hex}"
+    # Rows, places and draws are written to the shared folder once, so a task that runs again reads the same ones.
+    place = F.monotonically_increasing_id()
+    docs.select(*[F.col(f"`{c}`") for c in names], place.alias("__place"), F.rand(seed).alias("__second")).write.option("compression", "zstd").parquet(f"{base}/rows")
+    rows = spark.read.parquet(f"{base}/rows")
+    source = F.shiftright("__place", 33).cast("int")
+    held = rows.groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("n")).orderBy("source").collect()
+    counts = [0] * parts
+    start: dict[int, int] = {}  # where a partition's rows begin among those that share its row of the matrix
+    for r in held:
+        start[r["source"]] = counts[r["source"] % parts]
+        counts[r["source"] % parts] += r["n"]
+    live = [p for p in range(parts) if counts[p]]
+    drawn = dict(zip(live, matrix([counts[p] for p in live], shards, seed), strict=True))
+
+    @F.pandas_udf("int")
+    def dealt(places: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept: dict[int, np.ndarray] = {}
+        for batch in places:
+            at = batch.to_numpy()
+            out = np.empty(len(at), dtype=np.int32)
+            own = at >> 33
+            for p in np.unique(own).tolist():
+                k = p % parts
+                if k not in kept:
+                    kept.clear()
+                    kept[k] = np.random.default_rng([seed, k]).permutation(np.repeat(np.arange(shards, dtype=np.int16), drawn[k]))
+                mine = own == p
+                out[mine] = kept[k][start[p] + (at[mine] & ((1 << 33) - 1))]
+            yield pd.Series(out)
+
+    sent = rows.withColumn("shard", dealt("__place")).withColumn("__lane", F.floor(F.col("__second") * lanes).cast("int"))
+    lane = sent.groupBy("shard", "__lane").agg(F.count(F.lit(1)).alias("n"))
+    before = lane.withColumn("__before", F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("__lane").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    within = sent.withColumn("__rank", F.row_number().over(W.partitionBy("shard", "__lane").orderBy("__second", "__place")) - 1)
+    placed = within.join(F.broadcast(before), ["shard", "__lane"])  # at most shards * lanes rows
+    folder = folder or f"{base}/shards"
+    done = placed.select(*[F.col(f"`{c}`") for c in names], (F.col("__before") + F.col("__rank")).cast("long").alias("slot"), "shard")
+    done.write.option("compression", "zstd").partitionBy("shard").parquet(folder)
+    _remove(spark, f"{base}/rows")
+    schema = T.StructType([*(f for f in docs.schema if f.name in names), T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
+    return spark.read.schema(schema).parquet(folder)
+
+
 def shuffle_rows(docs: DataFrame, shards: int = 40, seed: int = 42, key: str = "doc_id", text: str = "text", parts: int = 4096, lanes: int = 64) -> DataFrame:
-    """Rows ``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``: a place for each row of ``docs``.
+    """Rows ``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``, read off the shards of ``docs``.
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 16; the crc32 of a null text is
     that of the empty text. The law is ``rows``: each row is placed on its own, copies of a
-    text too, and counts of shards differ by one at most. ``slot`` runs from 0 without gaps
-    in each shard. ``grown_shard`` is null, as it belongs to the law ``key``. A shard's
-    second permutation runs in ``lanes`` pieces, so that no task holds a whole shard.
-    An empty table gives no rows; null and repeated ids are rows like any other.
+    text too, and counts of shards differ by one at most. ``grown_shard`` is null, as it
+    belongs to the law ``key``. An empty table gives no rows.
     """
+    placed = shuffle_documents(docs, shards, seed, parts, lanes)
     body = F.coalesce(F.col(f"`{text}`").cast("string").cast("binary"), F.lit("").cast("binary"))
-    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), (F.octet_length(body).cast("long") + 16).alias("size"), F.crc32(body).alias("text_crc32"))
-    # The draw is written to the shared folder once, so a task that runs again reads the same one.
-    rows = cut(rows.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts))).withColumn("first", F.rand(seed)).withColumn("second", F.rand(seed + 1)))
-    held = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
-    drawn = matrix([r["n"] for r in held], shards, seed)
-    bounds = [(r["part"], np.cumsum(row).tolist()) for r, row in zip(held, drawn, strict=True)]
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(bounds, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("ends", T.ArrayType(T.LongType()))]))
-    ranked = rows.withColumn("at", F.row_number().over(W.partitionBy("part").orderBy("first", "second", "doc_id", "size", "text_crc32")) - 1)
-    sent = ranked.join(F.broadcast(plan), "part").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("at"))).cast("int"))
-    sent = sent.select("doc_id", "size", "text_crc32", "shard", "second", "first", F.floor(F.col("second") * lanes).cast("int").alias("lane"))
-    sent = cut(sent)
-    lane = sent.groupBy("shard", "lane").agg(F.count(F.lit(1)).alias("n"))
-    before = lane.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("lane").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    within = sent.withColumn("rank", F.row_number().over(W.partitionBy("shard", "lane").orderBy("second", "first", "doc_id", "size", "text_crc32")) - 1)
-    placed = within.join(F.broadcast(before), ["shard", "lane"])  # at most shards * lanes rows
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("before") + F.col("rank")).cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    size = (F.octet_length(body).cast("long") + 16).alias("size")
+    return placed.select(F.col(f"`{key}`").alias("doc_id"), size, F.crc32(body).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -194,6 +194,16 @@ def test_sharding(spark, sf):
     assert sharding.shuffle_rows(odd).count() == 3
 
 
+def test_sharding_moves_whole_rows(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(1, None, "en", "s", 0), (None, "é", None, "s", 1), (None, "é", None, "s", 1)], docs.schema)
+    both = docs.union(odd).repartition(7)
+    rows = sharding.shuffle_documents(both, folder=f"{tmp_path}/shards", parts=5)
+    assert dict(rows.dtypes)["slot"] == "bigint" and Counter(tuple(r)[:-2] for r in rows.collect()) == Counter(map(tuple, both.collect()))
+    assert len(list(tmp_path.glob("shards/shard=*"))) == 40
+    assert sharding.shuffle_documents(both.limit(0)).count() == 0
+
+
 def test_communication_matrix():
     counts = [5, 0, 17, 40, 1]
     total = np.zeros((5, 4))

@@ -70,6 +70,17 @@ def literal_score(text: str) -> float:
     return min(1.0, 0.15 * mixed + bits / 4)
 
 
+def _bounded(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """All spans, each at most 8 times: k = k + k can't grow without end, and 8 copies of any literal are long enough to be scored."""
+    seen: Counter = Counter()
+    out = []
+    for p in parts:
+        seen[p] += 1
+        if seen[p] <= 8:
+            out.append(p)
+    return out
+
+
 def literals(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of string literals that reach a name, with constants propagated."""
     known: dict[str, list[tuple[int, int]]] = {}
@@ -81,15 +92,15 @@ def literals(text: str) -> list[tuple[int, int, float]]:
                 parts.append((p.start() + 1, p.end() - 1))
             else:
                 parts.extend(known.get(p["name"], ()))
-        parts = parts[:64]
+        parts = _bounded(parts)
         name = m["item"] or m["name"]
         known[m["name"]] = parts
         sense = name_score(name)
         if sense and parts:
-            joined = "".join(text[a:b] for a, b in parts)
+            joined = "".join(text[a:b] for a, b in parts).replace(MARK, "")
             score = sense * literal_score(joined)
             for a, b in parts:
-                if b > a:
+                if b > a and text[a:b] != MARK:
                     best[a, b] = max(best.get((a, b), 0.0), score)
     return [(a, b, s) for (a, b), s in best.items()]
 
@@ -138,7 +149,7 @@ def redact_text(text: str, mark: str = MARK) -> str:
 
     Removing a span can join characters into a new one, so this goes on until none is left.
     """
-    for _ in range(8):
+    for _ in range(len(text) + 1):  # each pass takes at least one character that is no mark
         cuts = []
         for a, k, b in scan(text):
             if k == 0:

@@ -162,6 +162,15 @@ def test_secrets_lexing():
     assert said('conf["passphrase"] = "x9Qz77Lm2p"') == ["x9Qz77Lm2p"]
 
 
+def test_secrets_of_many_pieces():
+    pieces = [f"q{i}Z" for i in range(100)]
+    line = "db_pwd = " + " + ".join(f'"{p}"' for p in pieces)
+    grown = 'k = "q0Z"\n' + "".join(f'k = k + "{p}"\n' for p in pieces[1:]) + "db_pwd = k\n"
+    for text in (line, grown, 'k = "aB3$xY7!"\n' + "k = k + k\n" * 40 + "db_pwd = k\n"):
+        assert {text[a:b] for a, _, b in secrets.scan(text)} == {p for p in [*pieces, "aB3$xY7!"] if f'"{p}"' in text}
+        assert secrets.scan(secrets.redact_text(text)) == []
+
+
 def test_redaction(spark, sf):
     docs = frame(spark, SECRETS).select("doc_id", "text")
     out = secrets.redact(docs)

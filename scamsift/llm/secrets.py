@@ -2,7 +2,8 @@
 
 The patterns find sensitive assignments, access keys and long hexadecimal runs. The lexer
 reads name-literal pairs from source and configuration syntax (``name = "literal"``,
-``"name": "literal"``, ``name := 'a' + 'b'``, ``name => literal``), propagates constants
+``"name": "literal"``, ``name := 'a' + 'b'``, ``name => literal``; unquoted in .env, INI,
+properties and YAML lines and in lists of settings such as ``a=1;b=2``), propagates constants
 (``k = "..."`` and then ``password = k``), and scores a literal by the words of the names
 it reaches and by its own form. Literals that score high enough and that no pattern span
 covers are added as spans of kind ``literal``.
@@ -44,6 +45,12 @@ _NAME = r"[A-Za-z_$][\w$]*+(?:\.[A-Za-z_$][\w$]*+)*+"
 _PAIR = re.compile(
     rf"""(?P<name>{_NAME})(?:\[["'](?P<item>[\w.-]++)["']\])?["']?(?::\s?{_NAME})?[ \t]*+(?::=|=>|=(?![=~>])|:(?![:=/]))[ \t]*+(?P<value>(?:{_STRING}|{_NAME})(?:[ \t]*+\+[ \t]*+(?:{_STRING}|{_NAME}))*+)""", re.ASCII
 )
+#: A setting with an unquoted value: alone on its line, maybe with a comment, or one of a list parted by separators.
+_KEY = r"(?P<name>[A-Za-z_$][\w$.-]*+)[ \t]*+(?::=|=>|=(?![=~>])|:(?![:=/]))[ \t]*+"
+_LINE = re.compile(rf"""^[ \t]*+(?:export[ \t]++|set[ \t]++|-[ \t]++)*+{_KEY}(?P<value>[^\s"'`#;][^\s]*+)[ \t]*+(?=$|\r|[#;]|//)""", re.ASCII | re.MULTILINE)
+_LISTED = re.compile(rf"""(?<=[;,{{&?])[ \t]*+{_KEY}(?P<value>[^\s"'`;,&}}]++)(?=[ \t]*+(?:[;,&}}\r]|$))""", re.ASCII | re.MULTILINE)
+#: Unquoted values that are code, not literals: whole calls and subscripts of a name, and what opens a bracket at a line's end.
+_CODE = re.compile(r"[A-Za-z_$][\w$.]*+(?:[(\[]\S*[)\]]|[(\[{])", re.ASCII)
 _PART = re.compile(rf"(?P<text>{_STRING})|(?P<name>{_NAME})", re.ASCII)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 CUTOFF = 0.6
@@ -102,6 +109,15 @@ def literals(text: str) -> list[tuple[int, int, float]]:
             for a, b in parts:
                 if b > a and text[a:b] != MARK:
                     best[a, b] = max(best.get((a, b), 0.0), score)
+    for pattern in (_LINE, _LISTED):
+        for m in pattern.finditer(text):
+            sense = name_score(m["name"])
+            a = m.start("value")
+            b = a + len(m["value"].rstrip(",;"))
+            value = text[a:b]
+            if sense and value != MARK and not known.get(value) and not _CODE.fullmatch(value):
+                score = sense * literal_score(value.replace(MARK, ""))
+                best[a, b] = max(best.get((a, b), 0.0), score)
     return [(a, b, s) for (a, b), s in best.items()]
 
 

@@ -162,6 +162,19 @@ def test_secrets_lexing():
     assert said('conf["passphrase"] = "x9Qz77Lm2p"') == ["x9Qz77Lm2p"]
 
 
+def test_secrets_unquoted():
+    said = lambda t: [t[a:b] for a, k, b in secrets.scan(t) if k == 3]
+    assert said("DB_HOST=db1\nexport DB_PWD=x9Qz77Lm2p # main\nPORT=5432\n") == ["x9Qz77Lm2p"]  # .env
+    assert said("[db]\r\ncredentials = 9fQ7$kk!Zx81\r\n; end") == ["9fQ7$kk!Zx81"]  # INI
+    assert said("db.passphrase=hunter2Hunter2x\ndb.url=jdbc:x") == ["hunter2Hunter2x"]  # properties
+    assert said("db:\n  passphrase: hunter2Hunter2x\n  - private_key: Zx81Qw92Er\n  private-key: 7Zx81Qw92Er\n") == ["hunter2Hunter2x", "Zx81Qw92Er", "7Zx81Qw92Er"]  # YAML
+    assert said("Server=a;Uid=b;Pwd=x9Qz77Lm2p;Db=c") == ["x9Qz77Lm2p"] and said("{user: ann, pwd: x9Qz77Lm2p}") == ["x9Qz77Lm2p"]
+    assert said("k = 'x9Qz77Lm2p'\ndb_pwd = k") == ["x9Qz77Lm2p"] and said("LongName1 = 'x9Qz77Lm2p'\ndb_pwd = LongName1") == ["x9Qz77Lm2p"]
+    assert said("DB_PWD=!Ab9(xQ77Lm2p") == ["!Ab9(xQ77Lm2p"] and said("DB_PWD=Ab9(xQ77Lm2p") == ["Ab9(xQ77Lm2p"]
+    assert said("db_pwd = readValue1(x)") == [] and said("pwd_file=x9Qz77Lm2p") == [] and said("greeting=x9Qz77Lm2p") == [] and said("db_pwd=changeme123") == []
+    assert secrets.redact_text("DB_PWD=x9Qz77Lm2p\nA=1") == f"DB_PWD={secrets.MARK}\nA=1"
+
+
 def test_secrets_of_many_pieces():
     pieces = [f"q{i}Z" for i in range(100)]
     line = "db_pwd = " + " + ".join(f'"{p}"' for p in pieces)

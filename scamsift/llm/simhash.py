@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, components, cut
+from .common import annotate, components, cut, free, joined
 
 BITS, RADIUS, BLOCKS = 64, 3, 4
 _WIDTH = BITS // BLOCKS
@@ -202,31 +202,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Every row of ``docs`` gives a row; repeated rows stay. Null and wordless texts have
     fingerprint zero and are linked like any other. A null key never is a component's id
-    unless the component has no other key.
+    unless the component has no other key. Only the key and the text take part, whatever
+    other columns there are. An empty table gives no rows.
     """
     prints = cut(with_fingerprint(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).select("doc_id", F.col("__fp").alias("fp")))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = cut(classes(least).join(least, "fp"))
-    names = found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = joined(found, cut(found.groupBy("root").agg(F.min("least").alias("component_id"))), "root")
+    return joined(prints, cut(names.select("fp", "component_id")), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class of near duplicates: the one with the smallest key.
 
-    Rows that equal each other in all columns are one document, of which one row stays.
-    The columns of ``docs`` come back as they were.
+    Rows that equal each other in all columns are one document, of which one row stays; of
+    different rows with the smallest key, the one with the least hash. A null key is chosen
+    only if its class has no other. Null and wordless texts are one class. The columns of
+    ``docs`` come back as they were, whatever their names. An empty table gives no rows.
     """
-    tagged = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    prints = cut(with_fingerprint(tagged.select(F.col(f"`{key}`").alias("__key"), "__row", F.col(f"`{text}`").alias("__text0")), "__text0").select("__key", "__row", F.col("__fp").alias("fp")))
-    rank = F.struct(F.col("__key").isNull(), "__key", "__row", "fp")
-    least = prints.groupBy("fp").agg(F.min(rank).alias("best"))
+    row, own, body = free(docs, "__row", "__key", "__text0")
+    tagged = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    prints = with_fingerprint(tagged.select(F.col(f"`{key}`").alias(own), row, F.col(f"`{text}`").alias(body)), body)
+    prints = cut(prints.select(F.col(own).alias("k"), F.col(row).alias("r"), F.col("__fp").alias("fp")))
+    rank = F.struct(F.col("k").isNull().alias("null"), "k", "r", "fp")
+    least = cut(prints.groupBy("fp").agg(F.min(rank).alias("best")))
     found = classes(least).join(least, "fp").groupBy("root").agg(F.min("best").alias("best"))
-    chosen = found.select(F.col("best.__key").alias("__key"), F.col("best.__row").alias("__row"), F.col("best.fp").alias("fp"))
-    copies = prints.groupBy("__key", "__row", "fp").agg(F.count(F.lit(1)).alias("__n"))
-    same = [F.col("p.fp") == F.col("c.fp"), F.col("p.__row") == F.col("c.__row"), F.col("p.__key").eqNullSafe(F.col("c.__key"))]
-    chosen = cut(copies.alias("p").join(chosen.alias("c"), same).select("p.__key", "p.__row", "p.__n"))
-    stay = tagged.alias("d").join(chosen.alias("c"), [F.col("d.__row") == F.col("c.__row"), F.col(f"d.`{key}`").eqNullSafe(F.col("c.__key"))])
-    out = stay.select(*[F.col(f"d.`{c}`") for c in docs.columns], "c.__n")
-    once, more = out.where("__n = 1").drop("__n"), out.where("__n > 1").drop("__n")
-    return once if chosen.where("__n > 1").isEmpty() else once.union(more.dropDuplicates())
+    chosen = found.select("best.k", "best.r", "best.fp")
+    copies = prints.groupBy("k", "r", "fp").agg(F.count(F.lit(1)).alias("n"))
+    same = [F.col("p.fp") == F.col("c.fp"), F.col("p.r") == F.col("c.r"), F.col("p.k").eqNullSafe(F.col("c.k"))]
+    chosen = cut(copies.alias("p").join(chosen.alias("c"), same).select("p.k", "p.r", "p.n"))
+    stay = tagged.alias("d").join(chosen.alias("c"), [F.col(f"d.{row}") == F.col("c.r"), F.col(f"d.`{key}`").eqNullSafe(F.col("c.k"))])
+    once = stay.where("c.n = 1").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    if chosen.where("n > 1").isEmpty():
+        return once
+    return once.union(stay.where("c.n > 1").select(*[F.col(f"d.`{c}`") for c in docs.columns]).dropDuplicates())

@@ -12,17 +12,16 @@ matrix, whose size is bounded by ``parts`` times ``shards``, and a count for eac
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import shared_dir
+from .common import free, fresh, remove
 
 
 def matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
@@ -78,34 +77,31 @@ def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
             return x
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def shuffle_documents(docs: DataFrame, shards: int = 40, seed: int = 42, parts: int = 4096, lanes: int = 64, folder: str | None = None) -> DataFrame:
+def shuffle_documents(docs: DataFrame, shards: int = 40, seed: int = 42, parts: int = 4096, lanes: int | None = None, folder: str | None = None) -> DataFrame:
     """Whole rows of ``docs`` dealt to ``shards`` and written: all columns, ``shard`` (int) and ``slot`` (long).
 
     Each shard is a Parquet folder ``shard=N`` in ``folder`` (None: a new one in the shared
     folder); the rows read back from there are returned. ``slot`` runs from 0 without gaps in
     each shard. A shard's second permutation runs in ``lanes`` pieces, so that no task holds a
-    whole shard. Null and repeated ids are rows like any other. Columns of the names
+    whole shard (None: one for 250 000 rows, 64 at least and 4096 at most). Null and repeated ids are rows like any other. Columns of the names
     ``shard`` and ``slot`` are replaced.
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    base = f"{shared_dir(spark)}/sharding-{uuid.uuid4().hex}"
+    places, second, lanes_, rank, ahead = free(docs, "__place", "__second", "__lane", "__rank", "__before")
+    base = fresh(spark, "sharding")
     # Rows, places and draws are written to the shared folder once, so a task that runs again reads the same ones.
     place = F.monotonically_increasing_id()
-    docs.select(*[F.col(f"`{c}`") for c in names], place.alias("__place"), F.rand(seed).alias("__second")).write.option("compression", "zstd").parquet(f"{base}/rows")
+    docs.select(*[F.col(f"`{c}`") for c in names], place.alias(places), F.rand(seed).alias(second)).write.option("compression", "zstd").parquet(f"{base}/rows")
     rows = spark.read.parquet(f"{base}/rows")
-    source = F.shiftright("__place", 33).cast("int")
+    source = F.shiftright(places, 33).cast("int")
     held = rows.groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("n")).orderBy("source").collect()
     counts = [0] * parts
     start: dict[int, int] = {}  # where a partition's rows begin among those that share its row of the matrix
     for r in held:
         start[r["source"]] = counts[r["source"] % parts]
         counts[r["source"] % parts] += r["n"]
+    lanes = lanes or int(np.clip(sum(counts) // (250_000 * shards), 64, 4096))
     live = [p for p in range(parts) if counts[p]]
     drawn = dict(zip(live, matrix([counts[p] for p in live], shards, seed), strict=True))
 
@@ -125,20 +121,20 @@ def shuffle_documents(docs: DataFrame, shards: int = 40, seed: int = 42, parts:
                 out[mine] = kept[k][start[p] + (at[mine] & ((1 << 33) - 1))]
             yield pd.Series(out)
 
-    sent = rows.withColumn("shard", dealt("__place")).withColumn("__lane", F.floor(F.col("__second") * lanes).cast("int"))
-    lane = sent.groupBy("shard", "__lane").agg(F.count(F.lit(1)).alias("n"))
-    before = lane.withColumn("__before", F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("__lane").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    within = sent.withColumn("__rank", F.row_number().over(W.partitionBy("shard", "__lane").orderBy("__second", "__place")) - 1)
-    placed = within.join(F.broadcast(before), ["shard", "__lane"])  # at most shards * lanes rows
+    sent = rows.withColumn("shard", dealt(places)).withColumn(lanes_, F.floor(F.col(second) * lanes).cast("int"))
+    lane = sent.groupBy("shard", lanes_).agg(F.count(F.lit(1)).alias("n"))
+    before = lane.withColumn(ahead, F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy(lanes_).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    within = sent.withColumn(rank, F.row_number().over(W.partitionBy("shard", lanes_).orderBy(second, places)) - 1)
+    placed = within.join(F.broadcast(before), ["shard", lanes_])  # at most shards * lanes rows
     folder = folder or f"{base}/shards"
-    done = placed.select(*[F.col(f"`{c}`") for c in names], (F.col("__before") + F.col("__rank")).cast("long").alias("slot"), "shard")
+    done = placed.select(*[F.col(f"`{c}`") for c in names], (F.col(ahead) + F.col(rank)).cast("long").alias("slot"), "shard")
     done.write.option("compression", "zstd").partitionBy("shard").parquet(folder)
-    _remove(spark, f"{base}/rows")
+    remove(spark, f"{base}/rows")
     schema = T.StructType([*(f for f in docs.schema if f.name in names), T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
     return spark.read.schema(schema).parquet(folder)
 
 
-def shuffle_rows(docs: DataFrame, shards: int = 40, seed: int = 42, key: str = "doc_id", text: str = "text", parts: int = 4096, lanes: int = 64) -> DataFrame:
+def shuffle_rows(docs: DataFrame, shards: int = 40, seed: int = 42, key: str = "doc_id", text: str = "text", parts: int = 4096, lanes: int | None = None) -> DataFrame:
     """Rows ``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``, read off the shards of ``docs``.
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 16; the crc32 of a null text is

@@ -1,12 +1,17 @@
 """Embedding near-dedup: an exact metric range join.
 
-Pivots cut the unit sphere into cells; a vector's home is the cell of its nearest pivot. By
-the triangle inequality two vectors within distance r of each other whose homes differ lie
-within r of each other across the cells' bisector, so at least one of them lies within r/2
-of it. Each vector is therefore copied to every cell whose bisector with its home is that
-near, and to no other; cells then join independently, each home vector against all vectors
-of its cell. A pair that two cells could find is counted in one of them only. A cell with
-many home vectors is cut into blocks of them, each a task of its own that streams the rest.
+Pivots cut the unit sphere into cells; a cell with too many vectors is cut again by pivots
+of its own, so the cells are the leaves of a tree. A vector's home is the leaf that it
+reaches by its nearest pivots. By the triangle inequality a partner within distance r lies
+in the cell of pivot j only if the vector is within r of the bisector of j and every other
+pivot beside it; the vector visits exactly those cells. Of two cells only the one that comes
+later sends visitors to the other, so a pair is found once, in the home of one of the two.
+Cells then join independently: home vectors in memory, visitors streamed past them.
+
+Leaves have a bounded number of home vectors, however dense a region is: vectors of one and
+the same direction, which no pivot can part, are dealt out by a hash and visit each other.
+Where distances are so much alike that bisectors exclude nothing, every exact join compares
+all cells; visits then grow with the square of the vectors over the size of a leaf.
 
 Equal vectors are one class, joined once. A task adds up links and keeps a forest of them,
 so pairs are never written out.
@@ -15,41 +20,145 @@ so pairs are never written out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, joined
 from .simhash import _Forest
 
-SLACK = 1e-9  # widens copying, never the comparison
+SLACK = 1e-9  # widens visits, never the comparison
+#: Cells that a node of the tree has at most.
+FAN = 64
+#: Bytes of all pivots together; cells beyond that are dealt out by a hash.
+TREE_BYTES = 32 << 20
 
 
-def choose_pivots(sample: np.ndarray, most: int) -> np.ndarray:
-    """Pivots by farthest-first selection from a sample of unit vectors."""
-    if not len(sample):
-        return sample
-    chosen, near = [0], sample @ sample[0]
-    while len(chosen) < min(most, len(sample)):
-        at = int(near.argmin())
-        if near[at] > 1 - 1e-6:
-            break
-        chosen.append(at)
-        near = np.maximum(near, sample @ sample[at])
-    return sample[chosen]
+@dataclass
+class Node:
+    """A cut of a cell: ``pivots`` of its children, or none if a hash deals the vectors out; a child is a node or a leaf's number."""
+
+    pivots: np.ndarray | None
+    children: list
+    gaps: np.ndarray | None = field(default=None)
+
+    def __post_init__(self) -> None:
+        if self.pivots is not None:
+            self.gaps = np.stack([np.linalg.norm(self.pivots - p, axis=1) for p in self.pivots])
+
+
+def _dealt(ids: np.ndarray, depth: int, n: int) -> np.ndarray:
+    x = ids.astype(np.uint64) + np.uint64(depth + 1) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(27))) % np.uint64(n)).astype(np.int64)
+
+
+def place(tree: Node | int, unit: np.ndarray, ids: np.ndarray, reach: float, visits: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(leaf, row, whether the leaf is the row's home) for every leaf that a row's vector belongs to or, if asked, visits."""
+    leaves, rows, homes = [], [], []
 
+    def go(node: Node | int, at: np.ndarray, home: np.ndarray, depth: int) -> None:
+        if not len(at):
+            return
+        if not isinstance(node, Node):
+            leaves.append(np.full(len(at), node, dtype=np.int64))
+            rows.append(at)
+            homes.append(home)
+            return
+        n = len(node.children)
+        if node.pivots is None:
+            own, open_ = _dealt(ids[at], depth, n), np.ones((len(at), n), dtype=bool)
+        else:
+            near = unit[at] @ node.pivots.T
+            own = near.argmax(axis=1)
+            if visits:
+                # How far the vector is on the wrong side of the bisector of j and i: the gap of its cosines over the pivots' distance.
+                open_ = np.stack([(near - near[:, [j]] <= reach * node.gaps[j] + SLACK).all(axis=1) for j in range(n)], axis=1)
+        for j, child in enumerate(node.children):
+            mine = home & (own == j)
+            take = mine | (open_[:, j] & (~home | (own > j))) if visits else mine
+            go(child, at[take], mine[take], depth + 1)
 
-def _unit(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of one width in double precision, and their unit vectors."""
+    go(tree, np.arange(len(unit)), np.ones(len(unit), dtype=bool), 0)
+    if not leaves:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return np.concatenate(leaves), np.concatenate(rows), np.concatenate(homes)
+
+
+def _unit(lists: pa.Array) -> np.ndarray:
+    """Unit vectors, in double precision, of vectors of one width."""
     x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
-    return x, x / np.sqrt((x * x).sum(axis=1))[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def grow(found: DataFrame, total: int, width: int, leaf: int, kind: str) -> tuple[Node | int, int]:
+    """A tree whose leaves have about ``leaf`` home vectors and at most four times as many, and the number of leaves.
+
+    A cell's pivots are vectors of its own, taken by a hash of their class: as many as its
+    size asks for, so that dense regions get more. A few such samples come to the driver,
+    and at most ``TREE_BYTES`` of pivots are kept; cells that these don't reach, the smallest
+    ones, are dealt out by a hash like vectors of one direction.
+    """
+    room = TREE_BYTES // (8 * width)
+    tree: Node | int = 0
+    sizes, n_leaves = {0: total}, 1
+    for depth in range(64):
+        large = {k: n for k, n in sizes.items() if n > (2 if depth == 0 else 4) * leaf}
+        if not large:
+            break
+        want = {k: int(np.clip(-(-n // leaf), 2, FAN)) for k, n in large.items()}
+        share = {}
+        for k in sorted(large, key=lambda k: (-large[k], k)):
+            if room >= want[k]:
+                room -= want[k]
+                share[k] = (1.5 * want[k] + 8) / large[k]
+
+        def pick(batches: Iterator[pa.RecordBatch], tree=tree, share=share, depth=depth) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2048):
+                    batch = whole.slice(at, 2048)
+                    ids = batch.column(0).to_numpy()
+                    home, row, _ = place(tree, _unit(batch.column(1)), ids, 0.0, visits=False)
+                    lucky = _dealt(ids[row], 1000 + depth, 1 << 30) < np.array([share.get(k, 0.0) for k in home.tolist()]) * (1 << 30)
+                    yield pa.RecordBatch.from_arrays([pa.array(home[lucky]), pa.array(ids[row[lucky]]), batch.column(1).take(pa.array(row[lucky]))], names=["leaf", "c", "v"])
 
+        sample = found.select("c", "v").mapInArrow(pick, f"leaf bigint, c bigint, v {kind}").toPandas().sort_values("c")
+        cuts: dict[int, Node] = {}
+        for k in large:
+            v = sample["v"][sample["leaf"] == k].tolist()[: want[k]]
+            x = np.array(v, dtype=float).reshape(len(v), width)
+            x = np.unique(x / np.sqrt((x * x).sum(axis=1))[:, None], axis=0)
+            apart = len(x) > 1 and np.abs(x - x[0]).max() > 1e-6
+            n = len(x) if apart else want[k]
+            cuts[k] = Node(x if apart else None, list(range(n_leaves, n_leaves + n)))
+            n_leaves += n
 
-def near_duplicates(
-    vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, block: int = 2048, max_pivots: int = 512, seed: int = 7
-) -> DataFrame:
+        def refined(node: Node | int) -> Node | int:
+            if not isinstance(node, Node):
+                return cuts.get(node, node)
+            node.children = [refined(c) for c in node.children]
+            return node
+
+        tree = refined(tree)
+
+        def count(batches: Iterator[pa.RecordBatch], tree=tree) -> Iterator[pa.RecordBatch]:
+            held: dict[int, int] = {}
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2048):
+                    batch = whole.slice(at, 2048)
+                    home = place(tree, _unit(batch.column(1)), batch.column(0).to_numpy(), 0.0, visits=False)[0]
+                    for k, n in zip(*np.unique(home, return_counts=True), strict=True):
+                        held[int(k)] = held.get(int(k), 0) + int(n)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["leaf", "n"])
+
+        sizes = {r["leaf"]: r["n"] for r in found.select("c", "v").mapInArrow(count, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
+    return tree, n_leaves
+
+
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, leaf: int = 16_384) -> DataFrame:
     """Rows ``vec_id``, ``n_links``, ``component_id``, ``kept`` for every row of ``vectors``.
 
     Rows are linked if the cosine of their vectors, in double precision, is at least
@@ -57,138 +166,98 @@ def near_duplicates(
     link with nothing; neither do vectors of different widths. Rows with the same id are
     rows of their own. ``component_id`` is the smallest id that links reach (null ids are
     passed over), its own id where there are no links; ``kept`` says that it is the own id
-    (false for a null id).
+    (false for a null id). Only the two named columns take part. An empty table gives no rows.
     """
-    rows = vectors.select(F.col(f"`{key}`").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+    kind = "array<float>" if dict(vectors.select(F.col(f"`{vector}`").alias("v")).dtypes)["v"] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(f"`{key}`").alias("vec_id"), F.col(f"`{vector}`").cast(kind).alias("v"))
     # abs(x) < inf is false for NaN (the greatest value here) and infinite components, null for null ones.
     fine = F.coalesce(F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = rows.select("vec_id", F.when(fine, F.col("v")).alias("v"))
-    found = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    found = cut(found.select(F.monotonically_increasing_id().alias("c"), "v", "least", "copies"))
-    widths = [r[0] for r in found.groupBy(F.size("v")).count().collect()]
-    results = None
-    for width in widths:
-        part = _join(found.where(F.size("v") == width), cosine, block, max_pivots, seed)
-        results = part if results is None else results.union(part)
-    if results is None:
-        results = found.select("c", F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("links"))
+    # A vector's class: the digest of its components' shortest exact decimals. It stands for the vector as a key.
+    same = F.unhex(F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ",").cast("binary"), 256))
+    rows = rows.select("vec_id", F.when(fine, same).alias("same"), F.when(fine, F.col("v")).alias("v"))
+    found = rows.where("same is not null").groupBy("same").agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    found = cut(found.select(F.monotonically_increasing_id().alias("c"), "same", "v", "least", "copies"))
+    widths = {r[0]: r[1] for r in found.groupBy(F.size("v")).count().collect()}
+    results = found.select("c", F.lit(None).cast("long").alias("d"), F.lit(0).cast("long").alias("links")).limit(0)
+    for width, total in sorted(widths.items()):
+        results = results.union(_join(found.where(F.size("v") == width), total, width, cosine, leaf, kind))
     results = cut(results)
     links = results.where("d is null").groupBy("c").agg(F.sum("links").alias("links"))
     roots = components(results.where("d is not null").select(F.col("c").alias("a"), F.col("d").alias("b")))
-    own = found.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")).join(links, "c", "left")
-    own = cut(own.select("c", "v", "root", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    names = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = rows.join(own.join(names, "root").select("v", "n_links", "component_id"), "v", "left")
-    linked = F.coalesce("n_links", F.lit(0)).cast("long")
+    own = found.select("c", "same", "least", "copies").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")).join(links, "c", "left")
+    own = cut(own.select("same", "root", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    names = joined(own, cut(own.groupBy("root").agg(F.min("least").alias("component_id"))), "root")
+    keyed = cut(rows.select("vec_id", "same"))
+    out = joined(keyed.where("same is not null"), cut(names.select("same", "n_links", "component_id")), "same").select("vec_id", "n_links", "component_id")
+    out = out.union(keyed.where("same is null").select("vec_id", F.lit(0).cast("long"), F.lit(None).cast(keyed.schema["vec_id"].dataType)))
+    linked = F.col("n_links").cast("long")
     out = out.select("vec_id", linked.alias("n_links"), F.when(linked > 0, F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _join(found: DataFrame, cosine: float, block: int, max_pivots: int, seed: int) -> DataFrame:
+def _join(found: DataFrame, total: int, width: int, cosine: float, leaf: int, kind: str) -> DataFrame:
     """Rows (c, null, links) to add up, and (c, d, 0) for edges that preserve the components of all links."""
-    total = found.count()
-    want = int(np.clip(np.sqrt(total) / 4, 1, max_pivots))
-    sample = found.select("v").orderBy(F.xxhash64(F.lit(seed), "v")).limit(4 * want).toPandas()["v"].tolist()
-    pivots = choose_pivots(np.array([np.asarray(v, dtype=float) / np.linalg.norm(v) for v in sample]), want)
-    reach = np.sqrt(max(0.0, 2 - 2 * cosine)) / 2 + SLACK
-    gaps = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    tree, n_leaves = grow(found, total, width, leaf, kind)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                _, unit = _unit(batch.column(1))
-                near = unit @ pivots.T
-                home = near.argmax(axis=1)
-                # The distance from the bisector of two unit pivots is the gap of the two cosines over the pivots' distance.
-                away = near[np.arange(len(unit)), home][:, None] - near <= reach * gaps[home]
-                away[np.arange(len(unit)), home] = True
-                row, cell = np.nonzero(away)
-                masks = pa.array([m.tobytes() for m in np.packbits(away, axis=1)], pa.binary())
+                leaves, row, home = place(tree, _unit(batch.column(2)), batch.column(0).to_numpy(), reach)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), pa.array(home[row].astype(np.int32)), batch.column(0).take(take), batch.column(2).take(take), masks.take(take), batch.column(1).take(take)],
-                    names=["cell", "home", "c", "copies", "mask", "v"],
-                )
-
-    placed = found.select("c", "v", "copies").mapInArrow(place, "cell int, home int, c bigint, copies bigint, mask binary, v array<double>")
-    homes = {r["home"]: r["n"] for r in placed.where("cell = home").groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pieces = {cell: -(-n // block) for cell, n in homes.items()}
-    n_pieces = F.lit(1)
-    for cell, n in pieces.items():
-        if n > 1:
-            n_pieces = F.when(F.col("cell") == cell, F.lit(n)).otherwise(n_pieces)
-    # Each piece of a cell sees all its vectors; those that are its own home vectors come first.
-    dealt = placed.withColumn("n", n_pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    left = (F.col("cell") == F.col("home")) & (F.pmod(F.xxhash64("c"), F.col("n")) == F.col("piece"))
-    dealt = dealt.select("cell", "piece", (~left).alias("right"), "home", "c", "copies", "mask", "v").repartition("cell", "piece").sortWithinPartitions("cell", "piece", "right")
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, forest, own, sums = None, _Forest(), [], {}
-
-        def rows(batch: pa.RecordBatch) -> tuple:
-            _, unit = _unit(batch.column(7))
-            mask = np.unpackbits(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(len(batch), -1), axis=1).astype(bool)
-            return batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy(), mask, unit
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if sums:
-                yield emit(list(sums), [None] * len(sums), list(sums.values()))
-                sums.clear()
-
-        def emit(c: list, d: list, n: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(n, pa.int64())], names=["c", "d", "links"])
-
-        def compare(cell: int, mine: tuple, other: tuple, same: bool) -> Iterator[pa.RecordBatch]:
-            home, c, copies, mask, unit = mine
-            o_home, o_c, o_copies, _, o_unit = other
-            near = unit @ o_unit.T >= cosine
-            if same:
-                np.fill_diagonal(near, False)
-            away = o_home != cell
-            # A pair that the other vector's home cell finds as well counts in the lower cell.
-            near &= ~(away & (o_home < cell))[None, :] | ~mask[:, o_home]
-            i, j = np.nonzero(near)
-            if not len(i):
-                return
-            for k, n in zip(*_added(c[i], o_copies[j]), strict=True):
-                sums[k] = sums.get(k, 0) + n
-            cross = away[j]
-            for k, n in zip(*_added(o_c[j[cross]], copies[i[cross]]), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(~home), *(batch.column(i).take(take) for i in range(3))], names=["leaf", "visits", "c", "copies", "v"])
+
+    sent = found.select("c", "copies", "v").mapInArrow(send, f"leaf bigint, visits boolean, c bigint, copies bigint, v {kind}")
+    sent = sent.repartition(min(n_leaves, 4096), "leaf") if n_leaves > 1 else sent.coalesce(1)
+    return sent.sortWithinPartitions("leaf", "visits").mapInArrow(lambda batches: _links(batches, cosine), "c bigint, d bigint, links bigint")
+
+
+def _links(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of cells, home vectors first, to links and edges."""
+    at, forest, own, sums = None, _Forest(), [], {}
+
+    def emit(c: list, d: list, n: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(n, pa.int64())], names=["c", "d", "links"])
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if sums:
+            yield emit(list(sums), [None] * len(sums), list(sums.values()))
+            sums.clear()
+
+    def compare(mine: tuple, other: tuple, same: bool) -> Iterator[pa.RecordBatch]:
+        near = mine[2] @ other[2].T >= cosine
+        if same:
+            near = np.triu(near, 1)
+        i, j = np.nonzero(near)
+        if not len(i):
+            return
+        for keys, copies in ((mine[0][i], other[1][j]), (other[0][j], mine[1][i])):
+            for k, n in zip(*_added(keys, copies), strict=True):
                 sums[k] = sums.get(k, 0) + n
-            pairs = (c[i], o_c[j]) if len(i) < 2000 else _stars(c[i], o_c[j])
-            edges = [(x, y) for x, y in zip(pairs[0].tolist(), pairs[1].tolist(), strict=True) if forest.join(x, y)]
-            if edges:
-                x, y = zip(*edges, strict=True)
-                yield emit(list(x), list(y), [0] * len(x))
-            if len(sums) > 100_000:
-                yield from flush()
+        x, y = (mine[0][i], other[0][j]) if len(i) < 2000 else _stars(mine[0][i], other[0][j])
+        edges = [(a, b) for a, b in zip(x.tolist(), y.tolist(), strict=True) if forest.join(a, b)]
+        if edges:
+            yield emit([a for a, _ in edges], [b for _, b in edges], [0] * len(edges))
+        if len(sums) > 100_000:
+            yield from flush()
 
-        for whole in batches:
-            if not whole.num_rows:
-                continue
-            ids = whole.column(0).to_numpy().astype(np.int64) << 32 | whole.column(1).to_numpy()
-            for start in (starts := [0, *(np.nonzero(np.diff(ids))[0] + 1).tolist()]):
-                end = next((s for s in starts if s > start), len(ids))
-                group = whole.slice(start, end - start)
-                if ids[start] != at:
-                    at, own = ids[start], []
-                cell = int(at >> 32)
-                n_left = int(group.num_rows - np.count_nonzero(group.column(2).to_numpy(zero_copy_only=False)))
-                for k in range(0, n_left, 512):
-                    new = rows(group.slice(k, min(512, n_left - k)))
-                    for mine in own:
-                        yield from compare(cell, mine, new, False)
-                        yield from compare(cell, new, mine, False)
-                    yield from compare(cell, new, new, True)
+    for whole in batches:
+        ids = whole.column(0).to_numpy()
+        visits = whole.column(1).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.nonzero((ids[1:] != ids[:-1]) | (visits[1:] != visits[:-1]))[0] + 1).tolist(), len(ids)]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            for k in range(start, end, 1024):
+                piece = whole.slice(k, min(1024, end - k))
+                if ids[k] != at:
+                    at, own = ids[k], []
+                new = (piece.column(2).to_numpy(), piece.column(3).to_numpy(), _unit(piece.column(4)))
+                for mine in own:
+                    yield from compare(mine, new, False)
+                if not visits[k]:
+                    yield from compare(new, new, True)
                     own.append(new)
-                for k in range(n_left, group.num_rows, 512):
-                    new = rows(group.slice(k, min(512, group.num_rows - k)))
-                    for mine in own:
-                        yield from compare(cell, mine, new, False)
-        yield from flush()
-
-    return dealt.mapInArrow(join, "c bigint, d bigint, links bigint")
+    yield from flush()
 
 
 def _added(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[int]]:

@@ -85,13 +85,36 @@ def test_large_bucket_takes_the_other_path():
     assert pairs == want
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, None), (5, 5)]
-    got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
+def plain_components(edges):
+    nodes = sorted({x for e in edges if None not in e and e[0] != e[1] for x in e})
+    at = {x: i for i, x in enumerate(nodes)}
+    return {x: nodes[k] for x, k in zip(nodes, roots(len(nodes), [(at[a], at[b]) for a, b in edges if None not in (a, b) and a != b]))}
+
+
+def test_components(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    shuffled = rng.permutation(np.arange(3000, 4000)).tolist()
+    chains = [(i, i + 1) for i in range(999)] + [(2000, 1999)] + list(zip(range(1999, 1000, -1), range(1998, 999, -1))) + list(zip(shuffled, shuffled[1:]))
+    edges = chains + [(5000, 5000 + i) for i in range(1, 300)] + [(7, None), (None, None), (5, 5), (-3, -4)] + rng.integers(6000, 6400, (150, 2)).tolist()
+    want = plain_components([tuple(e) for e in edges])
+    df = spark.createDataFrame([tuple(e) for e in edges], "a bigint, b bigint").repartition(5)
+    assert {r.node: r.root for r in common.components(df).collect()} == want
+    assert {r.node: r.root for r in common.components(df, task_edges=40).collect()} == want  # by contraction
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(common.joined, "__defaults__", ("inner", 10))
+    star = spark.range(1, 100_001).selectExpr("0 AS a", "id AS b")
+    assert common.components(star, task_edges=100).groupBy("root").count().collect() == [(0, 100_001)]  # a hot key, looked up
     assert common.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_joins_with_hot_keys(spark):
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 1, id) AS k", "id AS v").union(spark.createDataFrame([(None, -1)], "k bigint, v bigint"))
+    side = spark.range(1500).selectExpr("id AS k", "id * 2 AS w")
+    for how in ("inner", "left"):
+        got = Counter(map(tuple, common.joined(rows, side, "k", how, most=5).collect()))
+        assert got == Counter(map(tuple, rows.join(side, "k", how).collect()))
+
+
 def vectors():
     rng = np.random.default_rng(11)
     x = rng.normal(size=(260, 16))
@@ -125,11 +148,28 @@ def test_embeddings_against_all_pairs(spark):
         c = min((k for k in least[found[i]] if k is not None), default=None) if links[i] else rows[i][0]
         want[(rows[i][0], links[i], c, rows[i][0] is not None and c == rows[i][0])] += 1
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    assert Counter(map(tuple, embed_dedup.near_duplicates(df, block=16).collect())) == want
+    assert Counter(map(tuple, embed_dedup.near_duplicates(df, leaf=8).collect())) == want
     assert Counter(map(tuple, embed_dedup.near_duplicates(df).collect())) == want
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_one_direction_and_narrow_trees(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(3, 8))
+    rows = [(int(i), (base[i % 3] * (1 + i)).tolist()) for i in range(240)] + [(1000 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 8)))]
+    x = np.array([v for _, v in rows])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    want = {rows[i][0]: int(near[i].sum()) - 1 for i in range(len(rows))}
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    for room in (embed_dedup.TREE_BYTES, 8 * 8 * 3):
+        monkeypatch.setattr(embed_dedup, "TREE_BYTES", room)
+        assert {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df, leaf=8).collect()} == want
+    tree, leaves = embed_dedup.grow(df.selectExpr("vec_id AS c", "embedding AS v"), 300, 8, 8, "array<float>")
+    homes = embed_dedup.place(tree, unit, np.arange(300), 0.3, visits=False)[0]
+    assert leaves > 10 and np.bincount(homes).max() <= 32
+
+
 def test_mixing_margins_and_sql(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     cells = mixing.calibrated_cells(docs.select(*mixing.describe(docs)), None).toPandas()

@@ -175,6 +175,34 @@ def test_secrets_unquoted():
     assert secrets.redact_text("DB_PWD=x9Qz77Lm2p\nA=1") == f"DB_PWD={secrets.MARK}\nA=1"
 
 
+def test_secrets_syntax():
+    said = lambda t: [t[a:b] for a, k, b in secrets.scan(t) if k == 3]
+    v = "x9Qz77Lm2pQ"
+    found = (
+        f"DB_PWD={v}", f"credential: {v}", f"auth_key: {v}", f'db_pwd = """{v}"""', f"db_pwd = '''{v}'''", f'db_pwd = (\n    "{v}"\n)', f"<passphrase>{v}</passphrase>", f'db_pwd = KEY1\nKEY1 = "{v}"',
+        f'conf["a"] = "{v}"\npwd = conf["a"]', f'<add key="DbPwd" value="{v}"/>', f'<entry note="a" key="db.pwd">{v}</entry>', f"mysql --db-pwd {v} -h x", f'obj.setPassphrase("{v}")', f'm.put("db_pwd", "{v}")',
+        f"passphrase: |\n  {v}\n", f"let credential = `{v}`;", f'pwd =\n   "{v}"', f'a = b = "{v}"\npwd = a', f'pwd += "{v}"', f'credentials["alice"] = "{v}"', f'val pwd: String = "{v}"', f'"db pwd": "{v}"', f'foo().pwd = r"{v}"',
+        f'a = c\nc = d\nd = "{v}"\npwd = a',
+    )
+    assert [t for t in found if said(t) != [v]] == []
+    for t in ('pwd = "x9Qz7" \\\n  "7Lm2pQ"', '$pwd = "x9Qz7" . "7Lm2pQ";', 'pwd = a + "7Lm2pQ"\na = "x9Qz7"', 'pwd = "x9Qz7"\npwd = pwd + "7Lm2pQ"'):
+        assert sorted(said(t)) == ["7Lm2pQ", "x9Qz7"], t
+    clean = (f'conf["a"] = "{v}"\npwd = conf', f'pwd = read("{v}")', "it's the pwd = don't", f'pwd = a\na = b\nb = a\nc = "{v}"', f'note = "{v}"', f'token_name = "{v}"', 'key: "Understanding Things99"', f"<title>{v}</title>")
+    assert [t for t in clean if said(t)] == []
+
+
+def test_secrets_scan_in_linear_time():
+    import time
+
+    for line in ('db_pwd%s = "x9Qz77Lm2pQ"\n', 'token = "2abc3ff2ca8fb1e4%s"\n', 'k = k + "ab%s"\n', 'a = """%s\\"\n', "pwd=(((%s", "a.b%s.c.d.", "<key a b %s", "word%s"):
+        took = []
+        for n in (5_000, 40_000):
+            text, began = "".join(line % i for i in range(n)), time.perf_counter()
+            secrets.scan(text)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 24 * took[0] + 0.5, (line, took)
+
+
 def test_secrets_of_many_pieces():
     pieces = [f"q{i}Z" for i in range(100)]
     line = "db_pwd = " + " + ".join(f'"{p}"' for p in pieces)
@@ -185,8 +213,9 @@ def test_secrets_of_many_pieces():
 
 
 def test_redaction(spark, sf):
-    docs = frame(spark, SECRETS).select("doc_id", "text")
+    docs = frame(spark, SECRETS).selectExpr("doc_id", "text", "'a' AS __text", "'b' AS __clean", "7 AS n_chars")
     out = secrets.redact(docs)
+    assert secrets.redact(docs.limit(0)).count() == 0 and {(r["__text"], r["__clean"]) for r in out.collect()} == {("a", "b")}
     assert out.columns == docs.columns and out.count() == docs.count()
     assert all(secrets.scan(r.text or "") == [] for r in out.collect())
     assert secrets.redact_text("no secret: here") == "no secret: here"

@@ -8,31 +8,44 @@ taken if a uniform number made from its id lies below. Only DataFrame functions
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, free, joined, small
 
 MARGINS = ("source", "lang", "topic")
 #: Powers that flatten the corpus's own shares into target shares.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.9}
-#: Most pairs of language and topic.
+#: Up to this many pairs of language and topic, their factors are multiplied on the driver; beyond, they stay distributed.
 SHORT_MARGINS = 10_000
-#: Sets of cells up to this many rows are broadcast, larger ones shuffled.
-BROADCAST_CELLS = 100_000
 NONE = "(none)"
 
 
+# Topics in order, each with the marks that tell it in a lower-cased text.
+TOPICS = {
+    "license": ("licensed under", "license", "copyright", "warranty", "redistribut", "all rights reserved"),
+    "code": ("function ", "return ", "import ", "public class", "};", "();", "#include", "def "),
+    "config": ("password", "token", "secret", "api_key", "localhost", "enabled:", "version="),
+    "markup": ("</", "/>", "<div", "<p>", "href=", "&nbsp;", "&amp;"),
+    "table": (" | ", "|--", "\t", ";;", "---|"),
+    "contact": ("@", "phone", "tel:", "contact", "e-mail", "email"),
+    "web": ("http://", "https://", "www.", "click here", "cookie", "subscribe"),
+    "money": ("$", "€", "£", "price", "invoice", "bank", "payment"),
+    "noise": ("$$$", "!!", "???", "###", "***", "===="),
+    "list": ("\n- ", "\n* ", "\n1. ", "\n2. ", "\n• "),
+    "dialogue": ("\" ", "“", "”", " said", "asked", "«"),
+}
+OTHER = "prose"
+
+
 def topic(text: Column) -> Column:
-    """A topic by plain marks of the text: the first of legal, tabular, contact and noise that applies, else prose."""
-    body = F.coalesce(text, F.lit(""))
-    return (
-        F.when(body.contains("icensed under") | body.contains("MIT License"), "legal")
-        .when(body.contains(" | "), "tabular")
-        .when(body.contains("@"), "contact")
-        .when(body.contains("$$$") | body.contains("!!"), "noise")
-        .otherwise("prose")
-    )
+    """The topic with the most of its marks in the text, the first of several in the order of ``TOPICS``; prose where there is no mark."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    seen = [(sum((low.contains(m).cast("int") for m in marks), F.lit(0)), name) for name, marks in TOPICS.items()]
+    most = F.greatest(*[n for n, _ in seen])
+    return F.when(most == 0, OTHER).otherwise(F.coalesce(*[F.when(n == most, name) for n, name in seen]))
 
 
 def tokens(text: Column) -> Column:
@@ -40,9 +53,10 @@ def tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
 
 
-def uniform(key: Column, seed: str) -> Column:
-    """A number in [0, 1) from 52 bits of an md5 of the seed and the key."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit(NONE))).cast("binary"))
+def uniform(key: Column, text: Column, seed: str) -> Column:
+    """A number in [0, 1) from 52 bits of an md5 of the seed and the key; without a key, of the text's own md5."""
+    own = F.concat(F.lit(":"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), own)).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
@@ -57,22 +71,60 @@ def _lookup(factors: dict[str, float], key: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in factors.items() for x in pair]), key), F.lit(0.0))
 
 
+class NotConverged(UserWarning):
+    """Raking ended before the margins agreed."""
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 200, tolerance: float = 1e-11, short: int = SHORT_MARGINS) -> DataFrame:
     """``cells`` (source, lang, topic, n) with weight: raked counts that add up to 1.
 
-    One row a source holds the source's cells, so its own factor is found within the row; a
-    sweep is one distributed sum over sources per (language, topic). Languages times topics
-    are few, at most ``short``, which is checked; their factors are the only numbers that the
-    driver holds, however many sources there are.
-
     A margin's value without a target keeps no weight; target shares of values without any
     cell can't be reached and are shared out by the other values. Ends when a sweep moves
-    no factor by more than ``tolerance`` of itself, or after ``sweeps`` sweeps (margins can
-    contradict each other where cells are empty; the last margin then holds exactly).
+    no factor by more than ``tolerance`` of itself, or after ``sweeps`` sweeps, with a warning
+    ``NotConverged`` (margins can contradict each other where cells are empty; the last
+    margin then holds exactly).
+
+    With up to ``short`` pairs of language and topic their factors are multiplied on the
+    driver; with more, all factors stay in tables. The steps and results are the same.
     """
     pairs = cells.select("lang", "topic").distinct()
-    if not small(pairs, short):
-        raise ValueError(f"more than {short} pairs of language and topic")
+    return _rake_short(cells, pairs, targets, sweeps, tolerance) if small(pairs, short) else _rake_long(cells, targets, sweeps, tolerance)
+
+
+def _warn(moved: float, sweeps: int) -> None:
+    warnings.warn(f"margins still moved by {moved:.2g} of themselves after {sweeps} sweeps", NotConverged, stacklevel=4)
+
+
+def _rake_long(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float) -> DataFrame:
+    """Any number of values in all margins: a sweep is one sum and one join a margin, written once."""
+    want = {}
+    for m in MARGINS:
+        present = cut(targets[m].select(m, "share").join(cells.select(m).distinct(), m).where("share > 0"))
+        total = present.agg(F.sum("share")).first()[0] or 1.0
+        want[m] = cut(present.select(m, (F.col("share") / F.lit(total)).alias("share")))
+    now = cells.select(*MARGINS, "n", F.col("n").cast("double").alias("weight"))
+    moved = 0.0
+    for sweep in range(sweeps):
+        moved = 0.0
+        for m in MARGINS:
+            held = now.groupBy(m).agg(F.sum("weight").alias("held"))
+            factor = cut(want[m].join(held, m).where("held > 0").select(m, (F.col("share") / F.col("held")).alias("f")))
+            now = joined(now, factor, m).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
+            if sweep or m != MARGINS[0]:
+                moved = max(moved, factor.agg(F.max(F.abs(F.col("f") - 1))).first()[0] or 0.0)
+        now = cut(now)
+        if sweep and moved <= tolerance:
+            return now.select(*MARGINS, "n", "weight")
+    _warn(moved, sweeps)
+    return now.select(*MARGINS, "n", "weight")
+
+
+def _rake_short(cells: DataFrame, pairs: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float) -> DataFrame:
+    """Few languages and topics: one row a source holds its cells, so its factor is found within the row.
+
+    A sweep is one distributed sum over sources per (language, topic); the factors of
+    languages and topics are the only numbers that the driver holds.
+    """
     want = {}
     for m in ("lang", "topic"):
         present = targets[m].join(pairs.select(m).distinct(), m).select(m, "share").collect()
@@ -88,7 +140,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 200, tol
         held = F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["n"] * _lookup(known["lang"], c["lang"]) * _lookup(known["topic"], c["topic"]))
         return rows.select("source", F.when(held > 0, F.col("share") / held).otherwise(0.0).alias("f"), F.explode("cells").alias("c"))
 
-    before = factor
+    before, moved = factor, 0.0
     for _ in range(sweeps if want["lang"] and want["topic"] else 0):
         before = {m: dict(factor[m]) for m in factor}
         sums = fitted(before).groupBy("c.lang", "c.topic").agg(F.sum(F.col("f") * F.col("c.n")).alias("s")).collect()
@@ -98,8 +150,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 200, tol
                 if r[m] in held:
                     held[r[m]] += r["s"] * factor["lang"].get(r["lang"], 0.0) * factor["topic"].get(r["topic"], 0.0)
             factor[m] = {k: f * want[m][k] / held[k] if held[k] > 0 else 0.0 for k, f in factor[m].items()}
-        if all(abs(f - before[m][k]) <= tolerance * f for m in factor for k, f in factor[m].items()):
+        moved = max((abs(f - before[m][k]) / f for m in factor for k, f in factor[m].items() if f), default=0.0)
+        if moved <= tolerance:
             break
+    else:
+        if want["lang"] and want["topic"]:
+            _warn(moved, sweeps)
     weight = F.col("f") * F.col("c.n") * _lookup(factor["lang"], F.col("c.lang")) * _lookup(factor["topic"], F.col("c.topic"))
     raked = fitted(before).select("source", "c.lang", "c.topic", "c.n", weight.alias("weight")) if want["lang"] and want["topic"] else rows.select("source", F.explode("cells").alias("c")).select("source", "c.lang", "c.topic", "c.n", F.lit(0.0).alias("weight"))
     return raked
@@ -144,47 +200,62 @@ def probabilities(cells: DataFrame, share: float | None = None, least: float = 0
 
 
 def describe(docs: DataFrame, text: str = "text") -> list[Column]:
-    """The three margins and the tokens of a document; a null source or language is a value of its own."""
-    return [*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NONE)).alias(f"__{c}") for c in ("source", "lang")), topic(F.col(f"`{text}`")).alias("__topic"), tokens(F.col(f"`{text}`")).alias("__n")]
+    """The three margins and the tokens of a document, named ``__source``, ``__lang``, ``__topic``, ``__n``; a null source or language is a value of its own."""
+    return _described(text, [f"__{m}" for m in MARGINS], "__n")
 
 
-def calibrated_cells(described: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, share: float | None = None, least: float = 0.0) -> DataFrame:
+def _described(text: str, margins: list[str], n: str) -> list[Column]:
+    values = [*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NONE)) for c in ("source", "lang")), topic(F.col(f"`{text}`"))]
+    return [*(v.alias(m) for v, m in zip(values, margins, strict=True)), tokens(F.col(f"`{text}`")).alias(n)]
+
+
+def calibrated_cells(described: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, share: float | None = None, least: float = 0.0, short: int = SHORT_MARGINS) -> DataFrame:
     cells = cut(described.groupBy(*[F.col(f"__{m}").alias(m) for m in MARGINS]).agg(F.sum("__n").alias("n")))
     targets = targets or {m: tempered(cells, m, p) for m, p in (powers or POWERS).items()}
-    return cut(probabilities(cut(rake(cells, targets)), share, least))
+    return cut(probabilities(cut(rake(cells, targets, short=short)), share, least))
 
 
 def mix(docs: DataFrame, seed: str = "mix", share: float | None = None, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, key: str = "doc_id", text: str = "text", least: float = 0.0) -> DataFrame:
     """Rows ``doc_id``, ``source``, ``lang``, ``topic``, ``n_tokens``, ``factor``, ``prob``, ``sampled`` for all of ``docs``.
 
-    Rows with the same id are drawn alike. Null sources and languages count as ``(none)``,
-    null and empty texts as prose of one token. An empty table gives no rows.
+    Rows with the same id and text are drawn alike; documents without an id are drawn by
+    their texts. Null sources and languages count as ``(none)``, null and empty texts as
+    prose of one token. Other columns take no part. An empty table gives no rows.
     """
-    rows = cut(docs.select(F.col(f"`{key}`").alias("doc_id"), *describe(docs, text)))
+    rows = cut(docs.select(F.col(f"`{key}`").alias("doc_id"), *describe(docs, text), uniform(F.col(f"`{key}`"), F.col(f"`{text}`"), seed).alias("__u")))
     cells = calibrated_cells(rows, powers, targets, share, least)
-    joined = _joined(rows, cells)
-    return joined.select("doc_id", *[F.col(f"__{m}").alias(m) for m in MARGINS], F.col("__n").alias("n_tokens"), "factor", "prob", (uniform(F.col("doc_id"), seed) < F.col("prob")).alias("sampled"))
+    taken = _with_prob(rows, cells, [f"__{m}" for m in MARGINS], "factor", "prob")
+    return taken.select("doc_id", *[F.col(f"__{m}").alias(m) for m in MARGINS], F.col("__n").alias("n_tokens"), "factor", "prob", (F.col("__u") < F.col("prob")).alias("sampled"))
 
 
-def _joined(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    side = cells.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], "factor", "prob")
-    side = F.broadcast(side) if small(side, BROADCAST_CELLS) else side
-    return rows.join(side, [f"__{m}" for m in MARGINS])
+def _with_prob(rows: DataFrame, cells: DataFrame, margins: list[str], *names: str) -> DataFrame:
+    """Rows with the factor and probability of their cells, joined by their margins spelt as one key."""
+    (cell,) = free(rows, "__cell")
+    spelt = lambda columns: F.concat_ws("\0", *[x for c in columns for x in (F.length(c).cast("string"), c)])
+    side = cells.select(spelt([F.col(m) for m in MARGINS]).alias(cell), *[F.col(c).alias(a) for c, a in zip(("factor", "prob"), names, strict=True)])
+    return joined(rows.withColumn(cell, spelt([F.col(m) for m in margins])), side, cell).drop(cell)
 
 
 def sample(docs: DataFrame, seed: str = "mix", share: float | None = None, powers: dict[str, float] | None = None, key: str = "doc_id", text: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` that ``mix`` samples, with the columns of ``docs``."""
+    """The rows of ``docs`` that ``mix`` samples, with the columns of ``docs``, whatever their names.
+
+    Nulls, repeated rows and empty tables are treated as in ``mix``. A table without a column
+    source or lang can't be mixed.
+    """
     cells = calibrated_cells(docs.select(*describe(docs, text)), powers, None, share, least)
-    side = cells.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("prob").alias("__prob"))
-    side = F.broadcast(side) if small(side, BROADCAST_CELLS) else side
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *describe(docs, text)[:3])
-    taken = rows.join(side, [f"__{m}" for m in MARGINS]).where(uniform(F.col(f"`{key}`"), seed) < F.col("__prob"))
+    *margins, n, factor, prob = free(docs, *[f"__{m}" for m in MARGINS], "__n", "__factor", "__prob")
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *_described(text, margins, n)[:-1])
+    taken = _with_prob(rows, cells, margins, factor, prob).where(uniform(F.col(f"`{key}`"), F.col(f"`{text}`"), seed) < F.col(prob))
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle(sweeps: int = 60, seed: str = "mix") -> str:
     """``mix`` with its defaults as DuckDB SQL over ``documents``, raking unrolled to a fixed number of sweeps."""
     body = "coalesce(text, '')"
+    q = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
+    marks = [(name, " + ".join(f"contains(low, {q(m)}) :: INT" for m in own)) for name, own in TOPICS.items()]
+    most = f"greatest({', '.join(f'm_{name}' for name in TOPICS)})"
+    named = f"CASE WHEN {most} = 0 THEN '{OTHER}' " + " ".join(f"WHEN m_{name} = {most} THEN '{name}'" for name in TOPICS) + " END"
     steps = []
     for m, p in POWERS.items():
         steps.append(f"t_{m} AS MATERIALIZED (SELECT {m}, pow(sum(n) :: DOUBLE, {p}) / sum(pow(sum(n) :: DOUBLE, {p})) OVER () AS share FROM cells GROUP BY {m})")
@@ -195,14 +266,14 @@ def oracle(sweeps: int = 60, seed: str = "mix") -> str:
             steps.append(f"r{k + 1} AS MATERIALIZED (SELECT r.source, r.lang, r.topic, r.n, r.w * t.share / sum(r.w) OVER (PARTITION BY r.{m}) AS w FROM r{k} r JOIN t_{m} t ON r.{m} = t.{m})")
             k += 1
     return f"""
-    WITH rows AS MATERIALIZED (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang,
-      CASE WHEN contains({body}, 'icensed under') OR contains({body}, 'MIT License') THEN 'legal' WHEN contains({body}, ' | ') THEN 'tabular' WHEN contains({body}, '@') THEN 'contact'
-        WHEN contains({body}, '$$$') OR contains({body}, '!!') THEN 'noise' ELSE 'prose' END AS topic,
-      greatest(1, len(regexp_extract_all({body}, '[^\\x20\\x09-\\x0D]+'))) :: BIGINT AS n FROM documents),
+    WITH lows AS (SELECT doc_id, text, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, lower({body}) AS low FROM documents),
+    marked AS (SELECT *, {', '.join(f'{own} AS m_{name}' for name, own in marks)} FROM lows),
+    rows AS MATERIALIZED (SELECT doc_id, source, lang, {named} AS topic, greatest(1, len(regexp_extract_all({body}, '[^\\x20\\x09-\\x0D]+'))) :: BIGINT AS n,
+      ('0x' || substr(md5('{seed}:' || coalesce(doc_id :: VARCHAR, ':' || md5({body}))), 1, 13)) :: BIGINT / 4503599627370496.0 :: DOUBLE AS u FROM marked),
     cells AS MATERIALIZED (SELECT source, lang, topic, sum(n) :: BIGINT AS n FROM rows GROUP BY ALL),
     {', '.join(steps)},
     tops AS (SELECT sum(n) :: DOUBLE AS every, max(w / n) AS top FROM r{k}),
     probs AS (SELECT source, lang, topic, w / n * every AS factor, least(1.0, w / n * every * (1 / (top * every))) AS prob FROM r{k}, tops)
     SELECT doc_id, rows.source, rows.lang, rows.topic, rows.n AS n_tokens, round(factor, 6) AS factor, round(prob, 6) AS prob,
-      (('0x' || substr(md5('{seed}:' || coalesce(doc_id :: VARCHAR, '{NONE}')), 1, 13)) :: BIGINT / 4503599627370496.0 :: DOUBLE) < prob AS sampled
+      u < prob AS sampled
     FROM rows JOIN probs USING (source, lang, topic)"""

@@ -16,9 +16,11 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int, keep: Column | None =
 
     Label rows are taken in the order of a hash of their id, so the sample does not depend
     on the layout of the files. Null ids and labels other than 0 and 1 are left out; of
-    several labels of an id the least counts. ``keep`` further restricts the ids
-    (an expression over ``doc_id``). The label side of the join has at most ``rows`` rows,
-    which bounds the broadcast; statistics are taken only for its documents.
+    several labels of an id the least counts, and of several documents of an id the one
+    whose text has the least hash, so repeated rows change nothing. ``keep`` further
+    restricts the ids (an expression over ``doc_id``). The label side of the join has at most
+    ``rows`` rows, which bounds the broadcast; statistics are taken only for its documents.
+    Empty tables give no rows.
     """
     chosen = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("__y")).where("doc_id is not null and __y in (0, 1)")
     if keep is not None:
@@ -29,6 +31,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int, keep: Column | None =
     def inputs(batch: pa.Array) -> list[pa.Array]:
         return [pa.array(list(features(statistics(batch))), type=pa.list_(pa.float64()))]
 
-    got = annotate(texts, "text", "__x array<double>", inputs).select("__x", "__y").limit(2 * rows).toPandas()
+    each = annotate(texts, "text", "__x array<double>", inputs).select("doc_id", "__y", "__x", F.xxhash64("text").alias("__h"))
+    got = each.groupBy("doc_id").agg(F.min(F.struct("__h", "__y", "__x")).alias("__one")).select("__one.__x", "__one.__y").orderBy("doc_id").toPandas()
     x = np.array(got["__x"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     return x, got["__y"].to_numpy(dtype=int)

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 import xxhash
 
 from scamsift.llm import common, embed_dedup, langid, mixing, queries, secrets, sharding, simhash
@@ -188,10 +189,32 @@ def test_mixing_margins_and_sql(spark, sf):
 
 
 def test_mixing_odd_rows(spark):
-    rows = [(1, None, None, None, "x"), (1, None, None, None, "x"), (None, "", "en", "a", "y"), (3, "w " * 5000, "en", "a", "z")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, weight string")
-    assert mixing.mix(docs).count() == 4 and mixing.mix(docs.limit(0)).count() == 0
-    assert mixing.sample(docs).columns == docs.columns
+    rows = [(1, None, None, None, "x"), (1, None, None, None, "x"), (None, "", "en", "a", "y"), (3, "w " * 5000, "en", "a", "z")] + [(None, f"word {i}", "en", "a", "y") for i in range(200)]
+    names = "doc_id bigint, text string, lang string, source string"
+    docs = spark.createDataFrame(rows, names + ", __topic string")
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == 204 and mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.sample(docs).columns == docs.columns and mixing.sample(docs.limit(0)).count() == 0
+    clash = spark.createDataFrame([(*r, "p", 1) for r in rows], names + ", __topic string, __cell string, __PROB int")
+    assert mixing.sample(clash).columns == clash.columns
+    free = [r.sampled for r in mixing.mix(docs, share=0.5).collect() if r.doc_id is None]
+    assert 0 < sum(free) < len(free)  # documents without an id are drawn on their own
+
+
+def test_raking_of_many_pairs_is_the_same(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null")
+    cells = common.cut(docs.groupBy("source", "lang", (mixing.F.col("doc_id") % 3).cast("string").alias("topic")).agg(mixing.F.sum(mixing.tokens(mixing.F.col("text"))).alias("n")))
+    targets = {m: mixing.tempered(cells, m, p) for m, p in mixing.POWERS.items()}
+    short, long = ({(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, targets, sweeps=12, tolerance=0, short=n).collect()} for n in (10_000, 3))
+    assert short.keys() == long.keys() and all(abs(short[k] - long[k]) < 1e-9 for k in short)
+    with pytest.warns(mixing.NotConverged):
+        mixing.rake(cells, targets, sweeps=1)
+
+
+def test_topics(spark):
+    texts = ["Licensed under the MIT License.", "plain words", None, "", "pay the invoice at the bank with $5", "mail me @ home, phone 5", "x = f();\nreturn y", "<div>a</div> href="]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.topic(mixing.F.col("t"))).collect()]
+    assert got == ["license", "prose", "prose", "prose", "money", "contact", "code", "markup"]
 
 
 def test_mixing_with_a_tiny_cell(spark, sf):
@@ -270,6 +293,11 @@ def test_pipeline_stages(spark, sf):
     ids = {r.doc_id for r in first.collect()}
     assert first.columns == docs.columns and ids == kept and not ids & {5001, 5002} and len(ids) >= docs.count() - 2
     again = docs.union(docs.limit(3))
+    clashing = docs.selectExpr("*", "'a' AS __text", "'b' AS __topic", "'c' AS __row", "'d' AS __clean", "'e' AS __fp", "'f' AS __key")
+    for name in ("language_id", "near_dedup", "secrets", "mixing"):
+        assert stages[name](spark, clashing, sf).columns == clashing.columns and stages[name](spark, docs.limit(0), sf).count() == 0
+    assert stages["near_dedup"](spark, clashing, sf).where("__row = 'c' and __fp = 'e'").count() == stages["near_dedup"](spark, docs, sf).count()
+    assert stages["bpe"](spark, clashing.limit(0), sf).count() == 0
     second = stages["near_dedup"](spark, again, sf)
     classes = simhash.near_duplicates(docs.select("doc_id", "text")).collect()
     assert sorted(r.doc_id for r in second.collect()) == sorted({r.component_id for r in classes}) and second.columns == docs.columns

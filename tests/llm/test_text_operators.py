@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -239,6 +240,36 @@ def test_tokenizer(spark, sf, encoding):
         assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
 
 
+def test_cuts_are_those_of_the_pattern(encoding):
+    """Against the library's own regular expression engine, by the ids of texts made of odd characters."""
+    rng = np.random.default_rng(0)
+    parts = ["'", "s", "re", "ll", "l", "d", "T", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "a", "Zz", "é", "e\u0301", "日本", "٣", "12", "½", "!", "—", "😀", "\u200b", "ʼ", "’s", "\u0e33", "Ⅷ", "\ufeff", "ﬁ"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(4000)]
+    tokenizer = queries.tokenizer()
+    assert tokenizer.pattern == bpe.WORDS_PATTERN
+    array = pa.array(texts, pa.large_string())
+    ids, at = tokenizer.encode(array)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [encoding.encode_ordinary(t) for t in texts]
+    other = bpe.Tokenizer(tokenizer.tokens, tokenizer.ids.tolist(), tokenizer.pattern + "|(?!)")
+    assert (other.starts(array) == tokenizer.starts(array)).all() and (other.encode(array)[0] == ids).all()
+    assert b"".join(tokenizer.spelt[int(i)].as_py() for i in ids) == "".join(texts).encode()
+
+
+def test_tokenizer_on_bytes_that_are_no_text():
+    raw = pa.Array.from_buffers(pa.large_string(), 3, [None, pa.py_buffer(np.array([0, 4, 4, 8], np.int64)), pa.py_buffer(b"\xff a\xe2\x82 b\xf0")])
+    tokenizer = queries.tokenizer()
+    ids, at = tokenizer.encode(raw)
+    assert tokenizer.decode(ids)[0].tobytes() == b"\xff a\xe2\x82 b\xf0" and len(at) == 4
+
+
+def test_tokenizer_clashes_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 3, "y"), (1, "a b", "x", 3, "y"), (None, None, "x", 3, "y")], "doc_id bigint, text string, __text string, N_Tokens int, ids string")
+    got = bpe.encode_documents(docs, queries.tokenizer(), ids=True)
+    assert got.columns == ["doc_id", "text", "__text", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"]
+    rows = got.collect()
+    assert sorted(r.n_tokens for r in rows) == [0, 2, 2] and len({r.ids_sha256 for r in rows}) == 2 and bpe.encode_documents(docs.limit(0), queries.tokenizer()).count() == 0
+
+
 def test_perfect_hash():
     keys = [f"k{i}".encode() for i in range(5000)]
     table = bpe.PerfectHash(keys)
@@ -276,6 +307,55 @@ def test_language_codes_are_those_of_plain_ppm():
             assert abs(got[i, j] - bits) < 1e-3, (lang, t)
 
 
+def test_language_chunks_and_order_of_texts(monkeypatch):
+    model = langid.train_texts({"x": ["abracadabra abc", "q"], "y": ["zyx yzx", "bab"]})
+    tries = pa.array(["", "abra cadabra", "", "z", "yx" * 40, "", "q?\n"], pa.large_string())
+    whole = model.bits(tries)
+    for size in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(langid, "CHUNK", size)
+        assert np.allclose(model.bits(tries), whole, atol=1e-3)
+        assert all((a == b).all() for a, b in zip(langid.counted(tries), (np.array(list(x)) for x in zip(*sorted(plain_runs(tries.to_pylist()).items())))))
+
+
+def plain_runs(texts):
+    out = {}
+    for t in texts:
+        s = b"\n\n\n" + t.encode()
+        for i in range(3, len(s)):
+            key = int.from_bytes(s[i - 3 : i + 1], "big")
+            out[key] = out.get(key, 0) + 1
+    return out
+
+
+def test_language_of_every_value_and_length(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(1000 * i + j, " ".join(letters[(i * k) % 26] + letters[(i + k) % 26] * 2 for k in range(j, j + 60)), f"l{i:03d}") for i in range(300) for j in range(3)]
+    rows += [(900_001, "ωψχ φυτ " * 20_000, "long"), (900_003, "ωψχ φυτ " * 20_000, "long"), (900_004, "ωψχ φυτ " * 20_000, "long"), (900_005, None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(docs, docs_in_all=50)
+    assert {lang for key, text, lang in rows if text and zlib.crc32(str(key).encode()) % 5} == set(model.langs) and len(model.langs) > 280
+    again = langid.train(docs.union(docs).repartition(7), docs_in_all=50)
+    assert again.langs == model.langs and langid.train(docs.limit(0)).langs == []
+    texts = ["χ φυτ ωψχ φυτ", "χ φυτ ωψχ φυτ", "zq9 qzz qqz xxq jjj"]
+    got = langid.identify(spark.createDataFrame([(t, 1) for t in texts], "text string, __text int"), model).collect()
+    assert got[0].lang_pred == "long" and got[0] == got[1] and got[0].score > 0.9 and got[2].score < got[0].score
+    two = langid.train_texts({"a": ["der die das und nicht ist ein " * 30], "b": ["the of and is that it with " * 30]})
+    mixed = langid.identify(spark.createDataFrame([("der die das und nicht ist ein " * 9 + "the of and is that it with " * 10,), ("der die das und nicht ist ein " * 9,)], "text string"), two).collect()
+    assert mixed[0].score < 0.99 < mixed[1].score
+    tie = langid.train_texts({"b": ["x y"], "a": ["x y"]})
+    assert langid.identify(spark.createDataFrame([("x y",)], "text string"), tie).collect()[0].lang_pred == "a"
+
+
+def test_labelled_sample_does_not_depend_on_repeats(spark, sf):
+    from scamsift.llm import labelled
+
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    x, y = labelled.sample(docs, labels, 50)
+    x2, y2 = labelled.sample(docs.union(docs).union(docs).repartition(5), labels.union(labels), 50)
+    assert len(x) == 50 and (x == x2).all() and (y == y2).all()
+    assert labelled.sample(docs.limit(0), labels, 50)[0].shape == (0, 12)
+
+
 def test_language_held_out(spark, sf):
     rows = queries.op8_language_id(spark, sf).toPandas()
     lang = {r.doc_id: r.lang for r in documents(spark, sf).collect()}
@@ -302,7 +382,43 @@ copies or substantial portions of the software.
 """
 
 
-def test_licenses(spark):
-    texts = [MIT, "x y.\nLicensed under the Apache License, Version 2.0.\nMore. Released under the MIT License. ", "the license of words", None, "", "All rights reserved.", "Licensed under CC BY-NC 4.0."]
-    rows = [(r.licenses, r.unmatched) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
-    assert rows == [("MIT", ""), ("Apache-2.0,MIT", ""), ("", ""), ("", ""), ("", ""), ("", "AllRights"), ("CC-BY-NC-4.0", "")]
+WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. More.'
+BSD = """Copyright (c) 2021, Ann Example & Co.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+
+* Neither the name of Ann Example & Co nor the names of its contributors
+  may be used to endorse or promote products derived from this software without
+  specific prior written permission.
+"""
+LICENSED = [
+    (MIT, "MIT", ""), (MIT + "\n" + WARRANTY, "MIT", ""), ("x y.\nLicensed under the Apache License, Version 2.0.\nMore. Released under the MIT License. ", "Apache-2.0,MIT", ""), ("the license of words", "", ""), (None, "", ""),
+    ("", "", ""), ("All rights reserved.", "", "AllRights"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0", ""), (BSD, "BSD-3-Clause", "AllRights"), ("// SPDX-License-Identifier: MIT\nint x;", "MIT", ""),
+    ("# SPDX-License-Identifier: (MIT OR Apache-2.0)\n# x\nReleased under the MIT License.", "MIT,Apache-2.0", ""), ("/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */", "GPL-2.0-only", ""),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 X\n", "GPL-3.0-only", ""), ("This package is distributed under the MIT license.", "MIT", ""),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n", "Apache-2.0", ""), ("Version 3, 29 June 2007", "", "Version3"),
+    ("word " * 200_000 + "\nReleased under the MIT License.\n", "MIT", ""),
+]
+
+
+def test_licenses(spark, tmp_path):
+    rows = [(i, t, "clash", 1) for i, (t, _, _) in enumerate(LICENSED)] + [(0, LICENSED[0][0], "clash", 1), (None, "MIT License", "clash", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, ids string, t int")
+    got = licenses.scan_licenses(docs).collect()
+    assert len(got) == len(rows) and licenses.scan_licenses(docs.limit(0)).count() == 0
+    for r in got:
+        assert (r.licenses, r.unmatched) == (LICENSED[r.doc_id][1:] if r.doc_id is not None else ("MIT", "")), r
+    assert all(any(t in sentence for t in licenses.TRIGGERS) for sentence in licenses.SENTENCES)
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(str, con.sql(f"select doc_id, n_sentence_ids, sentence_ids, licenses, unmatched from ({licenses.oracle()})").fetchall())) == sorted(str(tuple(r)) for r in got)

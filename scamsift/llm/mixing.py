@@ -23,27 +23,27 @@ SHORT_MARGINS = 10_000
 NONE = "(none)"
 
 
-# Topics in order, each with the marks that tell it in a lower-cased text.
+# Topics in order, each with the marks that tell it.
 TOPICS = {
-    "license": ("licensed under", "license", "copyright", "warranty", "redistribut", "all rights reserved"),
-    "code": ("function ", "return ", "import ", "public class", "};", "();", "#include", "def "),
-    "config": ("password", "token", "secret", "api_key", "localhost", "enabled:", "version="),
-    "markup": ("</", "/>", "<div", "<p>", "href=", "&nbsp;", "&amp;"),
-    "table": (" | ", "|--", "\t", ";;", "---|"),
-    "contact": ("@", "phone", "tel:", "contact", "e-mail", "email"),
-    "web": ("http://", "https://", "www.", "click here", "cookie", "subscribe"),
-    "money": ("$", "€", "£", "price", "invoice", "bank", "payment"),
-    "noise": ("$$$", "!!", "???", "###", "***", "===="),
-    "list": ("\n- ", "\n* ", "\n1. ", "\n2. ", "\n• "),
-    "dialogue": ("\" ", "“", "”", " said", "asked", "«"),
+    "license": ("icensed under", "MIT License"),
+    "code": ("();", "return "),
+    "config": ("password", "api_key"),
+    "markup": ("</", "href="),
+    "table": (" | ", "\t"),
+    "contact": ("@",),
+    "web": ("://", "www."),
+    "noise": ("$$$", "!!"),
+    "money": ("$", "€"),
+    "list": ("\n- ", "\n* "),
+    "dialogue": ("“", "\" "),
 }
 OTHER = "prose"
 
 
 def topic(text: Column) -> Column:
     """The topic with the most of its marks in the text, the first of several in the order of ``TOPICS``; prose where there is no mark."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    seen = [(sum((low.contains(m).cast("int") for m in marks), F.lit(0)), name) for name, marks in TOPICS.items()]
+    body = F.coalesce(text, F.lit(""))
+    seen = [(sum((body.contains(m).cast("int") for m in marks), F.lit(0)), name) for name, marks in TOPICS.items()]
     most = F.greatest(*[n for n, _ in seen])
     return F.when(most == 0, OTHER).otherwise(F.coalesce(*[F.when(n == most, name) for n, name in seen]))
 
@@ -253,7 +253,7 @@ def oracle(sweeps: int = 60, seed: str = "mix") -> str:
     """``mix`` with its defaults as DuckDB SQL over ``documents``, raking unrolled to a fixed number of sweeps."""
     body = "coalesce(text, '')"
     q = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
-    marks = [(name, " + ".join(f"contains(low, {q(m)}) :: INT" for m in own)) for name, own in TOPICS.items()]
+    marks = [(name, " + ".join(f"contains(body, {q(m)}) :: INT" for m in own)) for name, own in TOPICS.items()]
     most = f"greatest({', '.join(f'm_{name}' for name in TOPICS)})"
     named = f"CASE WHEN {most} = 0 THEN '{OTHER}' " + " ".join(f"WHEN m_{name} = {most} THEN '{name}'" for name in TOPICS) + " END"
     steps = []
@@ -266,7 +266,7 @@ def oracle(sweeps: int = 60, seed: str = "mix") -> str:
             steps.append(f"r{k + 1} AS MATERIALIZED (SELECT r.source, r.lang, r.topic, r.n, r.w * t.share / sum(r.w) OVER (PARTITION BY r.{m}) AS w FROM r{k} r JOIN t_{m} t ON r.{m} = t.{m})")
             k += 1
     return f"""
-    WITH lows AS (SELECT doc_id, text, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, lower({body}) AS low FROM documents),
+    WITH lows AS (SELECT doc_id, text, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, {body} AS body FROM documents),
     marked AS (SELECT *, {', '.join(f'{own} AS m_{name}' for name, own in marks)} FROM lows),
     rows AS MATERIALIZED (SELECT doc_id, source, lang, {named} AS topic, greatest(1, len(regexp_extract_all({body}, '[^\\x20\\x09-\\x0D]+'))) :: BIGINT AS n,
       ('0x' || substr(md5('{seed}:' || coalesce(doc_id :: VARCHAR, ':' || md5({body}))), 1, 13)) :: BIGINT / 4503599627370496.0 :: DOUBLE AS u FROM marked),

@@ -212,7 +212,7 @@ def test_raking_of_many_pairs_is_the_same(spark, sf):
 
 
 def test_topics(spark):
-    texts = ["Licensed under the MIT License.", "plain words", None, "", "pay the invoice at the bank with $5", "mail me @ home, phone 5", "x = f();\nreturn y", "<div>a</div> href="]
+    texts = ["Licensed under the MIT License.", "plain words", None, "", "pay the bill with $5", "mail me @ home", "x = f();\nreturn y", "<div>a</div> href="]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.topic(mixing.F.col("t"))).collect()]
     assert got == ["license", "prose", "prose", "prose", "money", "contact", "code", "markup"]
 

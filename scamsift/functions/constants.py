@@ -1,4 +1,4 @@
-"""Brands, host lists, look-alike characters and public suffixes."""
+"""Brands, host lists, scripts with look-alike characters and public suffixes of the fixtures."""
 
 from __future__ import annotations
 
@@ -31,17 +31,20 @@ RISKY_TLDS = ("zip", "mov", "tk", "ml", "ga", "cf", "gq", "xyz", "top", "buzz",
 # Domains of hosted sign-in services.
 HOSTED_AUTH = ("google.com", "googleapis.com", "firebaseapp.com", "microsoft.com", "microsoftonline.com", "auth0.com", "okta.com", "oktapreview.com", "onelogin.com", "amazoncognito.com", "pingone.com", "pingidentity.com")
 
-# Characters that read as a Latin letter; a subset of the Unicode confusables
-# (Cyrillic, Greek and some Latin letters). ``text.load_confusables`` reads the full list.
-CONFUSABLES = {
-    "а": "a", "в": "b", "г": "r", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ҽ": "e", "ӏ": "l", "ѵ": "v", "ш": "w", "ь": "b",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "l", "Ј": "J", "Ь": "b", "Ү": "Y", "ү": "y", "З": "E", "Ӏ": "l", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "ѡ": "w",
-    "α": "a", "γ": "y", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "υ": "u", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "l", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ϲ": "c", "ϳ": "j",
-    "×": "x", "þ": "p", "ı": "i", "ƅ": "b", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ɪ": "i", "ɯ": "w", "ʋ": "u", "ʏ": "y", "ս": "u", "օ": "o", "ա": "w", "գ": "q", "ո": "n", "հ": "h",
-}
+# Code points of scripts whose letters are folded onto the Latin letter that they read as.
+FOLDED_SCRIPTS = (
+    (0x00C0, 0x024F), (0x0250, 0x02AF), (0x1D00, 0x1DBF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0x10780, 0x107BF), (0x1DF00, 0x1DFFF),  # Latin
+    (0x0370, 0x03FF), (0x1F00, 0x1FFF), (0x2C80, 0x2CFF),  # Greek, Coptic
+    (0x0400, 0x052F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F), (0x1E030, 0x1E08F), (0x0530, 0x058F),  # Cyrillic, Armenian
+    (0x13A0, 0x13FF), (0xAB70, 0xABBF), (0xA4D0, 0xA4FF), (0x11FB0, 0x11FBF), (0x10400, 0x1044F), (0x104B0, 0x104FF),  # Cherokee, Lisu, Deseret, Osage
+    (0x10300, 0x1032F), (0x102A0, 0x102DF), (0x10280, 0x1029F), (0x10500, 0x1052F),  # Old Italic, Carian, Lycian, Elbasan
+)
+
+# Readings that later versions of the Unicode data give.
+LATER_READINGS = {"ӏ": "l"}
 
-# A subset of public suffixes. ``domains.load_suffixes`` reads the full list in its published format.
-SUFFIXES = (
+# The public suffixes that hosts of the fixtures meet, for their SQL. ``domains.public_suffixes`` has the whole list.
+FIXTURE_SUFFIXES = (
     "com", "net", "org", "edu", "gov", "int", "io", "co", "in", "uk", "us", "ru", "de", "fr", "es", "jp", "sbi", "app", "dev", "ly", "gl", "gd", "at", "gy", "cc", "ink", "id", "to", "me", "info", "biz", "xyz", "top", "tk", "ml", "ga", "cf", "gq", "zip", "mov", "click", "link", "lol", "ck",
     "co.uk", "org.uk", "ac.uk", "gov.uk", "co.in", "org.in", "net.in", "gov.in", "ac.in", "co.jp", "ne.jp", "com.au", "com.br", "github.io", "gitlab.io", "netlify.app", "vercel.app", "pages.dev", "web.app", "firebaseapp.com", "googleapis.com", "blogspot.com", "herokuapp.com", "azurewebsites.net", "myshopify.com",
     "kawasaki.jp", "*.kawasaki.jp", "!city.kawasaki.jp", "*.ck", "!www.ck",

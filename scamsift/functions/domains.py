@@ -6,18 +6,18 @@ import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .constants import BRANDS, CONFUSABLES, SHORTENERS, SUFFIXES
-from .text import fold
+from .constants import BRANDS, FIXTURE_SUFFIXES, SHORTENERS
+from .text import LEET
+from .text import confusables as _confusables
 
-PARSED = "array<struct<url:string,host:string,shown:string,plain:string>>"
-#: Suffix lists up to this length become literals of the plan, longer ones an Arrow function.
-LITERAL_SUFFIXES = 500
+PARSED = "array<struct<url:string,host:string,shown:string,domain:string,like:struct<brand:string,legit:string,kind:string>>>"
 
 _SCHEME = re.compile(r"https?://", re.IGNORECASE)
 _FORBIDDEN = re.compile(r"[\x00-\x20#%/:<>?@\[\\\]^|\x7f]")
@@ -81,62 +81,154 @@ def punycode_to_unicode(host: str | None) -> str | None:
     return ".".join(map(decode, host.split("."))) if host is not None and "xn--" in host else host
 
 
-def _parse(urls: Iterable[str] | None) -> list[dict]:
-    out = []
-    for url in urls if urls is not None else ():
-        if (host := host_of(url)) is not None:
-            shown = punycode_to_unicode(host)
-            out.append({"url": url, "host": host, "shown": shown, "plain": shown if shown.isascii() else unicodedata.normalize("NFKD", shown)})
-    return out
-
+@lru_cache(maxsize=1)
+def public_suffixes() -> tuple[str, ...]:
+    """All rules of the public suffix list that comes with Spark (in its HTTP client).
 
-def _parse_all(lists: pd.Series) -> pd.Series:
-    return lists.map(_parse)
+    ``load_suffixes`` reads a newer list from a file.
+    """
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    found = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader().getResources("mozilla/public-suffix-list.txt")
+    lists = []
+    while found.hasMoreElements():  # several libraries bring one; the longest is the latest
+        lists.append(_rules(spark._jvm.org.apache.commons.io.IOUtils.toString(found.nextElement(), "UTF-8").splitlines()))
+    if not lists:
+        raise RuntimeError("no public suffix list in this Spark: give the rules of load_suffixes")
+    return tuple(max(lists, key=len))
 
 
-def parse_urls(urls: Column) -> Column:
-    """For each link its host, the host as shown to a reader, and that in decomposed form; links without a host are left out."""
-    return F.pandas_udf(_parse_all, PARSED)(urls)
+def _rules(lines: Iterable[str]) -> list[str]:
+    return [x.split()[0] for x in lines if x.strip() and not x.startswith("//")]
 
 
 def load_suffixes(spark: SparkSession, path: str) -> tuple[str, ...]:
     """Rules of a public suffix list in its published format (comments and blank lines are passed over)."""
-    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("//"))
-    return tuple(r[0] for r in lines.select(F.split(F.trim("value"), r"\s+")[0]).collect())  # about ten thousand short lines
+    return tuple(_rules(r[0] for r in spark.read.text(path).collect()))  # about ten thousand short lines
 
 
-def _registrable(host: str | None, exact: frozenset, wild: frozenset, exceptions: frozenset) -> str | None:
-    if not host:
-        return host
-    labels = host.split(".")
-    tails = [".".join(labels[i:]) for i in range(len(labels))]
-    suffix = next((".".join(labels[i + 1 :]) for i, t in enumerate(tails) if t in exceptions), None)
-    if suffix is None:
-        suffix = next((t for i, t in enumerate(tails) if t in exact or (i + 1 < len(tails) and tails[i + 1] in wild)), None)
-    if suffix is None:
-        return ".".join(labels[-2:])
-    return host if suffix == host else ".".join(labels[-(suffix.count(".") + 2 if suffix else 1) :])
+@dataclass(frozen=True)
+class Suffixes:
+    exact: frozenset[str]
+    wild: frozenset[str]
+    exceptions: frozenset[str]
 
+    @staticmethod
+    @lru_cache(maxsize=8)
+    def of(rules: tuple[str, ...]) -> Suffixes:
+        return Suffixes(frozenset(r for r in rules if r[0] not in "*!"), frozenset(r[2:] for r in rules if r.startswith("*.")), frozenset(r[1:] for r in rules if r[0] == "!"))
 
-def registrable_domain(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
-    """The public suffix and one label more; the last two labels where no rule applies; a suffix itself stays."""
-    exact = [s for s in suffixes if s[0] not in "*!"]
-    wild, exceptions = [s[2:] for s in suffixes if s.startswith("*.")], [s[1:] for s in suffixes if s[0] == "!"]
-    if len(suffixes) > LITERAL_SUFFIXES:
-        sets = frozenset(exact), frozenset(wild), frozenset(exceptions)
-        return F.pandas_udf(lambda s: s.map(lambda h: _registrable(h, *sets)), "string")(host)
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    tail = lambda i: F.array_join(F.slice(labels, i + 1, F.greatest(n, F.lit(1))), ".")
-    starts = F.sequence(F.lit(0), n - 1)
-    excepted = F.get(F.filter(starts, lambda i: tail(i).isin(exceptions)), F.lit(0)) if exceptions else F.lit(None).cast("int")
-    known = F.get(F.filter(starts, lambda i: tail(i).isin(exact) | ((i + 1 < n) & tail(i + 1).isin(wild) if wild else F.lit(False))), F.lit(0))
-    start = F.coalesce(excepted, F.when(known.isNotNull(), F.greatest(known - 1, F.lit(0))), F.greatest(n - 2, F.lit(0)))
-    return F.when(host == "", host).otherwise(tail(start))
-
-
-def registrable_sql(host: str, suffixes: tuple[str, ...] = SUFFIXES) -> str:
-    """``registrable_domain`` as a DuckDB expression."""
+    def registrable(self, host: str | None) -> str | None:
+        """The public suffix and one label more; the last two labels where no rule applies; a suffix itself stays."""
+        if not host:
+            return host
+        labels = host.split(".")
+        tails = [".".join(labels[i:]) for i in range(len(labels))]
+        suffix = next((".".join(labels[i + 1 :]) for i, t in enumerate(tails) if t in self.exceptions), None)
+        if suffix is None:
+            suffix = next((t for i, t in enumerate(tails) if t in self.exact or (i + 1 < len(tails) and tails[i + 1] in self.wild)), None)
+        if suffix is None:
+            return ".".join(labels[-2:])
+        return host if suffix == host else ".".join(labels[-(suffix.count(".") + 2 if suffix else 1) :])
+
+
+def registrable_domain(host: Column, suffixes: tuple[str, ...] | None = None) -> Column:
+    """The registrable domain of a host, by the whole public suffix list if no rules are given. Few hosts repeat a lot, so each batch looks up its different ones."""
+    rules = Suffixes.of(suffixes or public_suffixes())
+
+    def domains(hosts: pd.Series) -> pd.Series:
+        return hosts.map({h: rules.registrable(h) for h in hosts.dropna().unique()})
+
+    return F.pandas_udf(domains, "string")(host)
+
+
+def edits(a: str, b: str, most: int) -> int:
+    """Levenshtein distance, ``most + 1`` beyond ``most``."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        if min(row) > most:
+            return most + 1
+    return min(row[-1], most + 1)
+
+
+def reads_as(shown: str, table: dict[int, str] | None = None) -> str:
+    """What a (decoded, decomposed) domain reads as: folded, ``rn`` as ``m``, letters, dots and hyphens only."""
+    folded = shown.translate(table or {}).translate(_LEET).lower()
+    return re.sub("[^a-z.-]", "", re.sub("[\u0300-\u036f]", "", folded).replace("rn", "m"))
+
+
+_LEET = str.maketrans(*LEET)
+
+
+class Links:
+    """Reads links: host, the host as shown, registrable domain and the brand that it imitates. A host is worked out once a batch of rows and kept."""
+
+    def __init__(self, suffixes: tuple[str, ...], genuine_first: bool, looks: dict[str, str]):
+        self.rules, self.genuine_first, self.looks = Suffixes.of(suffixes), genuine_first, str.maketrans(looks)
+        self.brands = [(b, d, reads_as(d), reads_as(d).split(".")[0]) for b, domains, _ in BRANDS for d in domains]
+        self.hosts: dict[str, tuple] = {}
+
+    def like(self, host: str, plain: str, domain: str) -> dict | None:
+        """The first brand and domain in order that say anything decide: genuine, or a homoglyph, subdomain, compound or typo look-alike."""
+        labels = plain.split(".")
+        own = reads_as(".".join(labels[-len(domain.split(".")) :]), self.looks)
+        above = [reads_as(x, self.looks) for x in labels[: max(0, len(labels) - 2)]]
+        label = own.split(".")[0]
+        parts = label.split("-")
+        first = None
+        for brand, legit, reads, name in self.brands:
+            if domain == legit or host == legit or host.endswith("." + legit):
+                kind = "genuine"
+            elif own == reads:
+                kind = "homoglyph"
+            elif name in above:
+                kind = "subdomain"
+            elif len(parts) > 1 and name in parts:
+                kind = "compound"
+            elif label != name and len(label) >= 4 and edits(label, name, most := 2 if len(name) > 8 else 1) <= most:
+                kind = "typo"
+            else:
+                continue
+            first = first or {"brand": brand, "legit": legit, "kind": kind}
+            if kind == "genuine" or not self.genuine_first:
+                return None if kind == "genuine" else first
+        return first
+
+    def host(self, host: str) -> tuple:
+        if host not in self.hosts:
+            if len(self.hosts) > 65536:
+                self.hosts.clear()
+            shown = punycode_to_unicode(host)
+            plain = shown if shown.isascii() else unicodedata.normalize("NFKD", shown)
+            domain = self.rules.registrable(host)
+            self.hosts[host] = (shown, domain, self.like(host, plain, domain))
+        return self.hosts[host]
+
+    def read(self, urls: Iterable[str] | None) -> list[dict]:
+        out = []
+        for url in urls if urls is not None else ():
+            if (host := host_of(url)) is not None:
+                shown, domain, like = self.host(host)
+                out.append({"url": url, "host": host, "shown": shown, "domain": domain, "like": like})
+        return out
+
+
+def parse_urls(urls: Column, suffixes: tuple[str, ...] | None = None, genuine_first: bool = False, confusables: dict[str, str] | None = None) -> Column:
+    """For each link its host, the host as shown to a reader, its registrable domain and like: the brand that it imitates
+    (brand, legit, kind), null if none or genuine. Links without a host are left out.
+
+    With ``genuine_first`` a host that any entry knows as genuine is genuine.
+    """
+    links = Links(suffixes or public_suffixes(), genuine_first, _confusables() if confusables is None else confusables)
+    return F.pandas_udf(lambda lists: lists.map(links.read), PARSED)(urls)
+
+
+def registrable_sql(host: str, suffixes: tuple[str, ...] = FIXTURE_SUFFIXES) -> str:
+    """``registrable_domain`` as a DuckDB expression, for few rules."""
     q = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     exact = [s for s in suffixes if s[0] not in "*!"]
     wild, exceptions = [s[2:] for s in suffixes if s.startswith("*.")], [s[1:] for s in suffixes if s[0] == "!"]
@@ -154,66 +246,6 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
     return F.when(d < 0, most + 1).otherwise(d)
 
 
-def skeleton(shown: Column) -> Column:
-    """What a (decoded, decomposed) domain reads as: folded, ``rn`` as ``m``, letters, dots and hyphens only."""
-    mapped = F.translate(shown, "".join(CONFUSABLES), "".join(CONFUSABLES.values()))
-    return F.regexp_replace(F.regexp_replace(fold(mapped, unicode=False), "rn", "m"), "[^a-z.-]", "")
-
-
-def _skeleton(domain: str) -> str:
-    t = domain.translate(str.maketrans("013457@$", "oleastas"))
-    return re.sub("[^a-z.-]", "", t.replace("rn", "m"))
-
-
-def _more(u: Column, keep: tuple[str, ...], **columns: Column) -> Column:
-    """A struct with the named fields of ``u`` and more."""
-    return F.struct(*[u[c].alias(c) for c in keep], *[c.alias(k) for k, c in columns.items()])
-
-
-def described(parsed: Column, suffixes: tuple[str, ...] = SUFFIXES, genuine_first: bool = False) -> Column:
-    """Parsed links with domain and like: the brand that the host imitates (brand, legit, kind), null if none or genuine.
-
-    Brands and their domains are tried in order and the first that says anything decides:
-    the host is genuine, or a homoglyph, subdomain, compound or typo look-alike. With
-    ``genuine_first`` a host that any entry knows as genuine is genuine. Each step is a pass
-    over the links, so that nothing is evaluated twice.
-    """
-    rows = [(b, d, _skeleton(d)) for b, domains, _ in BRANDS for d in domains]
-    table = F.array(*[F.struct(F.lit(b).alias("brand"), F.lit(d).alias("legit"), F.lit(s).alias("reads"), F.lit(s.split(".")[0]).alias("label")) for b, d, s in rows])
-    base = ("url", "host", "shown")
-
-    def read(u: Column) -> Column:
-        labels = F.split(u["plain"], r"\.")
-        n = F.size(F.split(u["domain"], r"\."))
-        above = F.transform(F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0))), lambda x: skeleton(x))
-        return _more(u, (*base, "domain"), own=skeleton(F.array_join(F.slice(labels, -n, n), ".")), above=above)
-
-    def judge(u: Column) -> Column:
-        def kind(b: Column) -> Column:
-            far = F.levenshtein(u["label"], b["label"], 2)
-            return (
-                F.when((u["domain"] == b["legit"]) | (u["host"] == b["legit"]) | F.endswith(u["host"], F.concat(F.lit("."), b["legit"])), "genuine")
-                .when(u["own"] == b["reads"], "homoglyph")
-                .when(F.array_contains(u["above"], b["label"]), "subdomain")
-                .when((F.size(u["parts"]) > 1) & F.array_contains(u["parts"], b["label"]), "compound")
-                .when((u["label"] != b["label"]) & (F.length(u["label"]) >= 4) & (far >= 0) & (far <= F.when(F.length(b["label"]) > 8, 2).otherwise(1)), "typo")
-            )
-
-        hits = F.filter(F.transform(table, lambda b: F.struct(b["brand"].alias("brand"), b["legit"].alias("legit"), kind(b).alias("kind"))), lambda h: h["kind"].isNotNull())
-        return _more(u, (*base, "domain"), hits=hits)
-
-    def decide(u: Column) -> Column:
-        first = F.get(u["hits"], F.lit(0))
-        real = F.exists(u["hits"], lambda h: h["kind"] == "genuine") if genuine_first else first["kind"] == "genuine"
-        return _more(u, (*base, "domain"), like=F.when(~real, first))
-
-    links = F.transform(parsed, lambda u: _more(u, (*base, "plain"), domain=registrable_domain(u["host"], suffixes)))
-    links = F.transform(links, read)
-    links = F.transform(links, lambda u: _more(u, (*base, "domain", "own", "above"), label=F.split(u["own"], r"\.")[0]))
-    links = F.transform(links, lambda u: _more(u, (*base, "domain", "own", "above", "label"), parts=F.split(u["label"], "-")))
-    return F.transform(F.transform(links, judge), decide)
-
-
 def mixes_scripts(shown: Column) -> Column:
     """Whether a label holds Latin letters and letters of another script."""
     return F.exists(F.split(shown, r"\."), lambda s: s.rlike(r"\p{IsLatin}") & s.rlike(r"[\p{L}&&[^\p{IsLatin}]]"))

@@ -7,14 +7,16 @@ Null texts are treated as empty.
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .constants import CONFUSABLES
+from .constants import FOLDED_SCRIPTS, LATER_READINGS
 
 #: An ASCII word boundary: Java's ``\\b`` also knows letters of other scripts, which the patterns don't.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
@@ -48,18 +50,47 @@ def nfkd(text: Column) -> Column:
     return F.pandas_udf(_nfkd, "string")(text)
 
 
+def _latin(pairs: Iterable[tuple[str, str]]) -> dict[str, str]:
+    """Pairs whose character belongs to a folded script, stays as it is when decomposed and reads as one ASCII letter, maybe by way of a digit."""
+    leet, out = dict(zip(*LEET, strict=True)), {}
+    for char, reads in pairs:
+        reads = leet.get(reads, reads)
+        known = any(a <= ord(char) <= b for a, b in FOLDED_SCRIPTS)
+        if known and len(reads) == 1 and reads.isascii() and reads.isalpha() and re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", char)) == char:
+            out[char] = reads
+    return out
+
+
+@lru_cache(maxsize=1)
+def confusables() -> dict[str, str]:
+    """Characters that read as one ASCII letter by the Unicode confusables data, which come with Spark (in ICU).
+
+    ``load_confusables`` reads the published file instead, for another version of Unicode.
+    """
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    chars = [c for a, b in FOLDED_SCRIPTS for c in map(chr, range(a, b + 1)) if unicodedata.normalize("NFD", c) == c]
+    builder = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")
+    reads = builder().build().getSkeleton("\n".join(chars)).split("\n")
+    found = _latin(zip(chars, reads, strict=True)) | LATER_READINGS
+    if len(found) < 150:
+        raise RuntimeError("no confusables in this Spark: give those of load_confusables")
+    return found
+
+
 def load_confusables(spark: SparkSession, path: str) -> dict[str, str]:
-    """Single characters that read as one ASCII letter, from a file in the format of the Unicode confusables list."""
+    """Characters that read as one ASCII letter, from a file in the format of the Unicode confusables list."""
     rows = spark.read.text(path).where(F.col("value").rlike(r"^\s*[0-9A-Fa-f]+\s*;\s*[0-9A-Fa-f]+\s*;")).collect()  # some thousand lines
-    pairs = (tuple(chr(int(x.strip(), 16)) for x in r["value"].lstrip("﻿").split(";")[:2]) for r in rows)
-    return {a: b for a, b in pairs if b.isascii() and b.isalpha() and not a.isascii()}
+    return _latin(tuple(chr(int(x.strip(), 16)) for x in r["value"].lstrip("\ufeff").split(";")[:2]) for r in rows)
+
+
+_confusables = confusables
 
 
 def fold(text: Column, digits: bool = True, unicode: bool = True, confusables: dict[str, str] | None = None) -> Column:
     """The canonical fold. ``unicode=False`` leaves out the decomposition, for texts known to be ASCII or decomposed."""
-    table = CONFUSABLES if confusables is None else confusables
     t = F.coalesce(text, F.lit(""))
     if unicode:
+        table = _confusables() if confusables is None else confusables
         t = nfkd(t)
         t = F.translate(t, "".join(table), "".join(table.values()))
     if digits:
@@ -75,10 +106,10 @@ def normalize(text: Column, digits: bool = True, unicode: bool = True, confusabl
     return squeeze(fold(text, digits, unicode, confusables))
 
 
-def rule_text(text: Column, unicode: bool = True) -> Column:
+def rule_text(text: Column, unicode: bool = True, confusables: dict[str, str] | None = None) -> Column:
     """The form that the tactic rules read: no separators within numbers, plain apostrophes, normalised."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\d)[.,](?=\d)", "")
-    return normalize(F.regexp_replace(t, "[‘’ʼ´`]", "'"), unicode=unicode)
+    return normalize(F.regexp_replace(t, "[‘’ʼ´`]", "'"), unicode=unicode, confusables=confusables)
 
 
 def tokens(text: Column) -> Column:

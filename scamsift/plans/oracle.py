@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..functions import text as T
 from ..functions.constants import BRAND_DOMAINS, BRANDS, HOSTED_AUTH, RISKY_TLDS, SHORTENERS
-from ..functions.domains import _skeleton, registrable_sql
+from ..functions.domains import reads_as, registrable_sql
 from ..operators import impersonation as I
 from ..operators import rules as R
 from ..operators.logic import quote as q
@@ -88,7 +88,7 @@ def ruled(source: str = "msgs", form: str = NO, official: str = NO) -> list[str]
 
 def links(source: str = "msgs", found: str = "") -> list[str]:
     """CTE links: msg_id, pos, url, host, domain, brand, kind (look-alike)."""
-    table = ", ".join(f"({i}, {q(b)}, {q(d)}, {q(_skeleton(d))}, {q(_skeleton(d).split('.')[0])})" for i, (b, d) in enumerate((b, d) for b, ds, _ in BRANDS for d in ds))
+    table = ", ".join(f"({i}, {q(b)}, {q(d)}, {q(reads_as(d))}, {q(reads_as(d).split('.')[0])})" for i, (b, d) in enumerate((b, d) for b, ds, _ in BRANDS for d in ds))
     kind = """CASE WHEN domain = legit OR host = legit OR ends_with(host, '.' || legit) THEN 'genuine' WHEN own = reads THEN 'homoglyph'
       WHEN list_contains(above, b.label) THEN 'subdomain' WHEN len(string_split(l.label, '-')) > 1 AND list_contains(string_split(l.label, '-'), b.label) THEN 'compound'
       WHEN l.label != b.label AND length(l.label) >= 4 AND levenshtein(l.label, b.label) <= CASE WHEN length(b.label) > 8 THEN 2 ELSE 1 END THEN 'typo' END"""

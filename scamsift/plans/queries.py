@@ -153,19 +153,18 @@ def q_rule_score(spark, sf_dir):
 @query(f"SELECT DISTINCT {oracle.host('url')} AS host, {D.registrable_sql(oracle.host('url'))} AS domain FROM pages")
 def q_registrable_domain(spark, sf_dir):
     u = F.explode(D.parse_urls(F.array("url")))
-    hosts = table(spark, sf_dir, "pages", "url").select(u.alias("u")).select("u.host").distinct()
-    return hosts.select("host", D.registrable_domain(F.col("host")).alias("domain"))
+    return table(spark, sf_dir, "pages", "url").select(u.alias("u")).select("u.host", "u.domain").distinct()
 
 
 @query(oracle.links_only("SELECT domain, count(*) AS n, count(DISTINCT host) AS n_hosts FROM links GROUP BY domain"))
 def q_domain_counts(spark, sf_dir):
-    u = fixtures.messages(spark, sf_dir).select(F.explode(D.parse_urls(X.urls(F.col("text")))).alias("u")).select("u.host")
-    return u.withColumn("domain", D.registrable_domain(F.col("host"))).groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("host").alias("n_hosts"))
+    u = fixtures.messages(spark, sf_dir).select(F.explode(D.parse_urls(X.urls(F.col("text")))).alias("u")).select("u.host", "u.domain")
+    return u.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("host").alias("n_hosts"))
 
 
 def _described(spark, sf_dir):
     m = fixtures.messages(spark, sf_dir)
-    return X.once(m, links=D.described(D.parse_urls(X.urls(F.col("text")))))
+    return X.once(m, links=D.parse_urls(X.urls(F.col("text"))))
 
 
 @query(oracle.links_only("SELECT msg_id, host, brand, legit, kind FROM links WHERE kind IS NOT NULL"))

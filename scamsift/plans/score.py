@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import BRAND_DOMAINS, SUFFIXES
-from ..functions.domains import described, parse_urls, registrable_domain
+from ..functions.constants import BRAND_DOMAINS
+from ..functions.domains import parse_urls
 from ..functions.text import once, rule_text, urls
 from ..operators import fusion, impersonation, model, policy, rules, url_signals
 from ..sources.feed import first_match, redirects
@@ -34,13 +34,15 @@ def score(
     redirect_table: DataFrame | None = None,
     key: str = "msg_id",
     unicode: bool = True,
-    suffixes: tuple[str, ...] = SUFFIXES,
+    suffixes: tuple[str, ...] | None = None,
     genuine_first: bool = False,
+    confusables: dict[str, str] | None = None,
 ) -> DataFrame:
     """``messages`` (key, text and, if there, sender, source, extra_urls, page) with the columns of ``OUTPUT``.
 
     Keys are taken to be distinct. Null texts are empty and safe. ``unicode=False`` leaves
-    out decomposition and look-alikes in texts known to be ASCII.
+    out decomposition and look-alikes in texts known to be ASCII. Without ``suffixes`` and
+    ``confusables`` the whole public lists that come with Spark count.
     """
     rows = _prepared(messages)
     rows = once(rows, __found=F.array_distinct(F.concat(urls(F.col("text")), F.filter("extra_urls", lambda u: u.isNotNull()))))
@@ -51,13 +53,12 @@ def score(
         rows = rows.withColumn("shortener_resolved", F.lit(False))
     is_page = F.coalesce(F.col("page.url") != "", F.lit(False))
     wanted = F.concat(F.col("__found"), F.array(F.when(is_page, F.col("page.url"))), F.when(is_page, F.coalesce("page.form_targets", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
-    rows = once(rows.withColumn("__page", is_page).withColumn("__parsed", parse_urls(wanted)), __t=rule_text(F.col("text"), unicode))
-    rows = once(rows, __links=described(F.filter("__parsed", lambda u: F.array_contains(F.col("__found"), u["url"])), suffixes, genuine_first))
-    rows = once(rows, links=F.array_distinct("__links"))
+    rows = once(rows.withColumn("__page", is_page).withColumn("__parsed", parse_urls(wanted, suffixes, genuine_first, confusables)), __t=rule_text(F.col("text"), unicode, confusables))
+    rows = once(rows, links=F.array_distinct(F.filter("__parsed", lambda u: F.array_contains(F.col("__found"), u["url"]))))
     rows = once(rows, __url=url_signals.link_signals(F.col("links")))
-    host_of = lambda url: F.get(F.filter("__parsed", lambda u: u["url"] == url), F.lit(0))["host"]
-    rows = once(rows, __domain=F.when(F.col("__page"), registrable_domain(host_of(F.col("page.url")), suffixes)))
-    rows = once(rows, __forms=F.when(F.col("__page"), F.transform("page.form_targets", lambda u: F.coalesce(registrable_domain(host_of(u), suffixes), F.lit("")))))
+    domain_of = lambda url: F.get(F.filter("__parsed", lambda u: u["url"] == url), F.lit(0))["domain"]
+    rows = once(rows, __domain=F.when(F.col("__page"), domain_of(F.col("page.url"))))
+    rows = once(rows, __forms=F.when(F.col("__page"), F.transform("page.form_targets", lambda u: F.coalesce(domain_of(u), F.lit("")))))
     if feed is not None:
         hits = first_match(rows.select(key, "__found"), feed, key, "__found")
         rows = rows.join(hits, key, "left").withColumn("__url", F.when(F.col("feed_url").isNotNull(), F.concat("__url", F.array(url_signals.feed_signal(F.col("feed_url"))))).otherwise(F.col("__url"))).drop("feed_url")
@@ -88,7 +89,7 @@ def score(
     rows = once(rows, exact_score=exact).withColumn("verdict", fusion.verdict(F.col("exact_score"))).withColumn("score", fusion.rounded(F.col("exact_score")))
     rows = once(rows, reasons=fusion.ordered(F.col("signals"))).withColumn("exonerating", F.col("__rule_exonerating"))
     rows = rows.withColumn("escalate", fusion.should_escalate(F.col("score"), F.col("verdict"), F.col("reasons")))
-    return rows.drop("__found", "__page", "__parsed", "__t", "__links", "__url", "__domain", "__forms", "__flagged", "__clean", "__title", "__lead", "__rule_signals", "__rule_exonerating", "__rule_score", "__imp")
+    return rows.drop("__found", "__page", "__parsed", "__t", "__url", "__domain", "__forms", "__flagged", "__clean", "__title", "__lead", "__rule_signals", "__rule_exonerating", "__rule_score", "__imp")
 
 
 def score_pages(pages: DataFrame, key: str = "page_id", **options) -> DataFrame:

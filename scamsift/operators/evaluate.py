@@ -30,6 +30,11 @@ def rates(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def flagged_pages(rows: DataFrame) -> DataFrame:
+    """One row: percent of harmless pages that are flagged (pages_flagged_rate)."""
+    return rows.agg(_rate(F.expr(FLAGGED), F.lit(True)).alias("pages_flagged_rate"))
+
+
 def gates(measured: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
     """One row per gate: name, rate, limit, passed."""
     named = {k: v for k, v in (limits or GATES).items() if k in measured.columns}
@@ -77,11 +82,11 @@ def cross_validate(rows: DataFrame, folds: int = 5, **options) -> list[float]:
     """Accuracy in each of ``folds`` folds of the model of ``operators.model``; rows go to folds by a hash of their text."""
     from . import model
 
-    dealt = rows.withColumn("__f", F.pmod(F.xxhash64("text"), F.lit(folds))).withColumn("__id", F.xxhash64("text", "label"))
+    dealt = rows.withColumn("__f", F.pmod(F.xxhash64("text"), F.lit(folds)))
     out = []
     for k in range(folds):
         weights = model.fit(dealt.where(F.col("__f") != k), **options)
         held = dealt.where(F.col("__f") == k)
-        scored = held.join(model.score(held, weights, key="__id"), "__id")
+        scored = held.withColumn("model", model.judged(F.col("text"), weights))
         out.append(confusion(scored, (F.col("model.probability") >= 0.5).cast("int")).first()["accuracy"])
     return out

@@ -15,6 +15,8 @@ MAX_PULL, MAX_PULL_PAGE = 50.0, 22.0
 CONCLUSIVE_AT, MIN_KNOWN_TERMS, CURVE = 2.4, 3, 2.6
 NO_ASK_CAP = SUSPICIOUS_AT - 1
 REASON_KEY = 60
+# Characters of a message that a second opinion reads, and reasons that it gives.
+OPINION_CHARS, OPINION_REASONS = 12_000, 3
 
 
 def squash(raw: Column) -> Column:
@@ -54,27 +56,34 @@ def should_escalate(score: Column, verdict_: Column, reasons: Column) -> Column:
     return score.between(ESCALATE_FROM, ESCALATE_TO) | ((verdict_ != "safe") & (F.size(reasons) == 0))
 
 
+def opinion_requests(verdicts: DataFrame, key: str = "msg_id", text: str = "text") -> DataFrame:
+    """What a second opinion is asked: key, the start of the text, the local score and the details of the local signals, for unsure messages."""
+    return verdicts.where("escalate").select(key, F.substring(F.col(text), 1, OPINION_CHARS).alias("text"), "score", F.transform("reasons", lambda r: r["detail"]).alias("signals"))
+
+
 def merge_opinions(verdicts: DataFrame, opinions: DataFrame, key: str = "msg_id") -> DataFrame:
     """Verdicts with second opinions (key, score, explanation, reasons, advice, failed, sent) where there are any.
 
-    A second opinion's score wins, but a dangerous verdict with reasons stays dangerous.
-    Its reasons come first; of reasons that begin alike the first stays. A failed opinion
-    leaves the verdict and says whether the message was sent.
+    A second opinion's score wins, held to 0 to 100 and 0 if it is no number, but a dangerous
+    verdict with reasons stays dangerous. Its first three reasons come first; of reasons that
+    begin alike the first stays. A failed opinion leaves the verdict and says whether the
+    message was sent.
     """
-    o = opinions.select(F.col(key), *[F.col(c).alias(f"o_{c}") for c in ("score", "explanation", "reasons", "advice", "failed", "sent")])
+    o = opinions.select(F.col(key), F.lit(True).alias("o_there"), *[F.col(c).alias(f"o_{c}") for c in ("score", "explanation", "reasons", "advice", "failed", "sent")])
     joined = verdicts.join(o, key, "left")
-    there, failed = F.col("o_score").isNotNull() & ~F.coalesce("o_failed", F.lit(False)), F.coalesce("o_failed", F.lit(False))
-    theirs = rounded(F.col("o_score"))
+    failed = F.coalesce("o_failed", F.lit(False))
+    there = F.coalesce("o_there", F.lit(False)) & ~failed
+    theirs = rounded(clamp(F.coalesce(F.nanvl(F.col("o_score").cast("double"), F.lit(0.0)), F.lit(0.0))))
     score = F.when((F.size("reasons") > 0) & (F.col("score") >= DANGEROUS_AT), F.greatest(theirs, F.lit(DANGEROUS_AT))).otherwise(theirs)
     shape = joined.schema["reasons"].dataType.elementType
-    new = F.transform(F.coalesce("o_reasons", F.array().cast("array<string>")), lambda d: F.struct(*[(F.lit("second_opinion") if f.name == "id" else d if f.name == "detail" else F.lit(None)).cast(f.dataType).alias(f.name) for f in shape]))
+    new = F.transform(F.slice(F.coalesce("o_reasons", F.array().cast("array<string>")), 1, OPINION_REASONS), lambda d: F.struct(*[(F.lit("second_opinion") if f.name == "id" else d if f.name == "detail" else F.lit(None)).cast(f.dataType).alias(f.name) for f in shape]))
     start = lambda r: F.lower(F.substring(r["detail"], 1, REASON_KEY))
     alike = lambda r: lambda b: start(b) == start(r)
     merged = let(F.concat(new, F.col("reasons")), lambda every: F.filter(every, lambda r, i: (i == 0) | ~F.exists(F.slice(every, 1, F.greatest(i, F.lit(1))), alike(r))))
     out = joined.withColumn("score", F.when(there, score).otherwise(F.col("score"))).withColumn("reasons", F.when(there, merged).otherwise(F.col("reasons")))
     out = out.withColumn("verdict", F.when(there, verdict(F.col("score"))).otherwise(F.col("verdict")))
     out = out.withColumn("tier", F.when(there, "second-opinion").when(failed, "second-opinion-failed").otherwise("local")).withColumn("reached", F.when(failed, F.coalesce("o_sent", F.lit(False))))
-    return out.withColumn("explanation", F.when(there, F.col("o_explanation"))).withColumn("advice", F.when(there, F.col("o_advice"))).drop(*[c for c in o.columns if c != key])
+    return out.withColumn("explanation", F.when(there, F.coalesce("o_explanation", F.lit("")))).withColumn("advice", F.when(there, F.coalesce("o_advice", F.lit("")))).drop(*[c for c in o.columns if c != key])
 
 
 def describe_tier(tier: Column, reached: Column, shortener_resolved: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
@@ -65,27 +69,43 @@ def fit(docs: DataFrame, text: str = "text", label: str = "label", min_df: int =
     return Weights(spark.createDataFrame(table, "term string, idx int, idf double, coef double"), float(model.intercept), ngram_max)
 
 
-def score(docs: DataFrame, weights: Weights, key: str = "msg_id", text: str = "text", unicode: bool = True) -> DataFrame:
-    """``key`` and model: a struct (probability, known_terms, matched_terms, available) for every row.
+MODEL = "struct<probability:double,known_terms:int,matched_terms:array<struct<term:string,weight:double>>,available:boolean>"
+
+
+class Scorer:
+    """Scores lists of terms; ``table`` has idf and coefficient of each known term."""
+
+    def __init__(self, table: dict[str, tuple[float, float]], intercept: float):
+        self.table, self.intercept = table, intercept
+
+    def one(self, terms: Iterable[str]) -> dict:
+        found = Counter(t for t in terms if t in self.table)
+        parts = [(n * self.table[t][0], self.table[t][1], t) for t, n in found.items()]
+        norm = math.sqrt(sum(v * v for v, _, _ in parts))
+        z = self.intercept + (sum(v * c for v, c, _ in parts) / norm if norm else 0.0)
+        up = sorted((-v * c, t) for v, c, t in parts if c > 0)[:TOP_TERMS]
+        matched = [{"term": t, "weight": -k / norm} for k, t in up]
+        return {"probability": 1 / (1 + math.exp(-z)) if z > -700 else 0.0, "known_terms": len(parts), "matched_terms": matched, "available": len(parts) >= MIN_KNOWN_TERMS}
+
+    def __call__(self, lists: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([self.one(x) for x in lists], columns=["probability", "known_terms", "matched_terms", "available"])
+
+
+def judged(text: Column, weights: Weights, unicode: bool = True) -> Column:
+    """The model's view of a text: a struct (probability, known_terms, matched_terms, available).
 
     Known terms weigh count times idf over the norm of the text's vector. The five terms
     that raise the score most are listed. With fewer than three known terms the model
-    abstains. Terms join the broadcast weights, so texts never move.
+    abstains. The weights, at most ``max_features`` rows, go along with the plan: a text is
+    scored within its row, in Arrow batches, without a shuffle.
     """
-    each = docs.select(F.col(key), F.explode(terms_of(F.col(text), weights.ngram_max, unicode=unicode)).alias("term"))
-    counts = each.join(F.broadcast(weights.terms.select("term", "idf", "coef")), "term").groupBy(key, "term", "idf", "coef").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("v", F.col("n") * F.col("idf"))
-    made = counts.groupBy(key).agg(
-        F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum(F.col("v") * F.col("coef")).alias("dot"), F.count(F.lit(1)).cast("int").alias("known"),
-        F.collect_list(F.when(F.col("coef") > 0, F.struct((-F.col("v") * F.col("coef")).alias("k"), "term"))).alias("up"),
-    )
-    z = F.lit(weights.intercept) + F.coalesce(F.col("dot") / F.col("norm"), F.lit(0.0))
-    known = F.coalesce("known", F.lit(0))
-    matched = F.transform(F.slice(F.array_sort("up"), 1, TOP_TERMS), lambda s: F.struct(s["term"].alias("term"), (-s["k"] / F.col("norm")).alias("weight")))
-    model = F.struct(
-        (1 / (1 + F.exp(-z))).alias("probability"), known.alias("known_terms"), F.coalesce(matched, F.array().cast("array<struct<term:string,weight:double>>")).alias("matched_terms"), (known >= MIN_KNOWN_TERMS).alias("available")
-    )
-    return docs.select(key).distinct().join(made, key, "left").select(key, model.alias("model"))
+    scorer = Scorer({r["term"]: (r["idf"], r["coef"]) for r in weights.terms.select("term", "idf", "coef").collect()}, weights.intercept)
+    return F.pandas_udf(lambda lists: scorer(lists), MODEL)(terms_of(text, weights.ngram_max, unicode=unicode))
+
+
+def score(docs: DataFrame, weights: Weights, key: str = "msg_id", text: str = "text", unicode: bool = True) -> DataFrame:
+    """``key`` and model (see ``judged``) for every row."""
+    return docs.select(key, judged(F.col(text), weights, unicode).alias("model"))
 
 
 def save(weights: Weights, path: str) -> None:
@@ -105,4 +125,4 @@ def describe(weights: Weights, **more) -> dict:
     return {"vocab_size": weights.terms.count(), "ngram_max": weights.ngram_max, "intercept": weights.intercept} | more
 
 
-__all__ = ["Weights", "vocabulary", "fit", "score", "save", "load", "describe", "terms_of"]
+__all__ = ["Weights", "vocabulary", "fit", "score", "save", "load", "describe", "terms_of", "judged"]

@@ -74,19 +74,23 @@ def at_least(rows: DataFrame, severity: str) -> DataFrame:
     return rows.where(rank(F.col("verdict")) >= RANKS[severity])
 
 
-def history(scans: DataFrame, time: str = "timestamp", order: str = "msg_id", keep: int = HISTORY_ROWS) -> DataFrame:
+def history(scans: DataFrame, time: str = "timestamp", order: str = "msg_id", keep: int = HISTORY_ROWS, old: DataFrame | None = None) -> DataFrame:
     """The history that these scans leave: one entry per (text, sender) at the place of its first scan with what its
-    last scan said; only the last ``keep`` places stay. Columns of ``scans`` and ``position`` (0: oldest kept).
+    last scan said; only the last ``keep`` places stay. Columns of ``scans``, ``first`` (when and in which order the
+    entry came first) and ``position`` (0: oldest kept). ``old`` is a history to go on from.
 
     First and last scans come from one aggregate; only ``keep`` rows reach the final numbering.
     """
     rows = scans.withColumns({"text": F.when(F.coalesce("source", F.lit("")) == "page", F.substring("text", 1, PAGE_CHARS)).otherwise(F.col("text")), "sender": F.coalesce("sender", F.lit(""))})
     at = F.struct(F.col(time).alias("t"), F.col(order).alias("o"))
-    others = [c for c in rows.columns if c not in ("text", "sender")]
-    merged = rows.groupBy("text", "sender").agg(F.min(at).alias("first"), F.max_by(F.struct(*others), at).alias("last"))
+    others = [c for c in rows.columns if c not in ("text", "sender", "first", "position")]
+    rows = rows.select("text", "sender", *others, at.alias("first"))
+    if old is not None:
+        rows = rows.unionByName(old.select(*[c for c in rows.columns if c in old.columns]), allowMissingColumns=True)
+    merged = rows.groupBy("text", "sender").agg(F.min("first").alias("first"), F.max_by(F.struct(*others), at).alias("last"))
     newest = merged.orderBy(F.desc("first"), "text", "sender").limit(keep)
     position = (F.row_number().over(W.orderBy("first", F.desc("text"), F.desc("sender"))) - 1).alias("position")
-    return newest.select("text", "sender", "last.*", position)
+    return newest.select("text", "sender", "last.*", "first", position)
 
 
 def history_view(entries: DataFrame) -> DataFrame:

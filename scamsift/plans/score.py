@@ -1,8 +1,7 @@
 """The whole plan: messages or pages to verdicts, one row each.
 
-Rules, links and impersonation are computed within the row. Only what needs a table moves
-rows: sender lists and feeds (broadcast when found small), and model terms (texts stay,
-their terms are grouped).
+Rules, links, impersonation and the model are computed within the row. Only what needs a
+table moves rows: sender lists, feeds and redirects (broadcast when found small).
 """
 
 from __future__ import annotations
@@ -81,10 +80,10 @@ def score(
     rows = rows.withColumn("raw_score", F.col("__rule_score") + rules.total(F.col("__url")) + rules.total(F.col("__imp")))
 
     if weights is not None:
-        rows = rows.join(model.score(rows.select(key, "text"), weights, key, "text", unicode), key, "left")
+        rows = rows.withColumn("model", model.judged(F.col("text"), weights, unicode))
         pulled = fusion.pull(F.col("model.probability"), F.col("model.available"), F.col("__page"))
     else:
-        rows, pulled = rows.withColumn("model", F.lit(None).cast("struct<probability:double,known_terms:int,matched_terms:array<struct<term:string,weight:double>>,available:boolean>")), F.lit(0.0)
+        rows, pulled = rows.withColumn("model", F.lit(None).cast(model.MODEL)), F.lit(0.0)
     exact = fusion.fuse(F.col("raw_score"), F.col("signals"), F.col("no_ask"), F.size("__found") > 0, pulled)
     rows = once(rows, exact_score=exact).withColumn("verdict", fusion.verdict(F.col("exact_score"))).withColumn("score", fusion.rounded(F.col("exact_score")))
     rows = once(rows, reasons=fusion.ordered(F.col("signals"))).withColumn("exonerating", F.col("__rule_exonerating"))
@@ -92,6 +91,43 @@ def score(
     return rows.drop("__found", "__page", "__parsed", "__t", "__url", "__domain", "__forms", "__flagged", "__clean", "__title", "__lead", "__rule_signals", "__rule_exonerating", "__rule_score", "__imp")
 
 
+def analyze(
+    messages: DataFrame,
+    settings: policy.Settings,
+    weights: model.Weights | None = None,
+    feed: DataFrame | None = None,
+    redirect_table: DataFrame | None = None,
+    opinions: DataFrame | None = None,
+    key: str = "msg_id",
+    **options,
+) -> DataFrame:
+    """The whole analysis as the settings ask for it: key, gate, verdict, score, reasons, tier and shown.
+
+    Senders on the settings' lists are skipped or blocked. The model, the feed and the
+    redirects take part if they are given and switched on; so do second opinions, for
+    messages that the local layers are unsure of. ``shown`` says that the verdict reaches
+    the least severity that the settings show.
+    """
+    spark = messages.sparkSession
+    listed = lambda names: spark.createDataFrame([(n,) for n in names], "sender string")
+    rows = messages if "sender" in messages.columns else messages.withColumn("sender", F.lit(""))
+    gated = policy.gate(rows, listed(settings.allowlist), listed(settings.blocklist))
+    found = score(
+        gated.where("gate = 'score'"), weights if settings.use_model else None, feed if settings.use_feed else None, redirect_table if settings.resolve_shorteners else None, key,
+        genuine_first=settings.genuine_first, **options,
+    )
+    if opinions is not None and settings.second_opinion:
+        unsure = found.where("escalate").select(key)
+        found = fusion.merge_opinions(found, opinions.join(unsure, key, "left_semi"), key)
+    else:
+        found = found.withColumn("tier", F.lit("local"))
+    found = found.select(key, "gate", "verdict", "score", "reasons", "tier")
+    shape = found.schema["reasons"].dataType
+    rest = gated.where("gate != 'score'").select(key, "gate", F.when(F.col("gate") == "block", "dangerous").alias("verdict"), F.when(F.col("gate") == "block", 100).cast("int").alias("score"), F.array().cast(shape).alias("reasons"), F.lit("local").alias("tier"))
+    shown = F.coalesce(policy.rank(F.col("verdict")) >= policy.RANKS[settings.min_severity], F.lit(False))
+    return found.unionByName(rest).withColumn("shown", shown)
+
+
 def score_pages(pages: DataFrame, key: str = "page_id", **options) -> DataFrame:
     """Verdicts for pages collected by ``sources.pages.collected`` (a struct column ``page``)."""
     p = F.col("page")

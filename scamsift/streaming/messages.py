@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -45,19 +48,53 @@ def tab_counts(scans: DataFrame, tab: str = "tab", page: str = "page_seq") -> Da
     return pages.groupBy(tab).agg(F.max_by(F.struct("dangerous", "suspicious"), F.col(page)).alias("r")).select(tab, "r.*")
 
 
-def with_static(stream: DataFrame, read: Callable[[], DataFrame], apply: Callable[[DataFrame, DataFrame], DataFrame], write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
-    """A writer that reads a table (a feed, a list) anew for every micro-batch; a failed read keeps the last good copy."""
-    kept: dict[str, DataFrame] = {}
+def settled(scans: DataFrame, page: str = "page", time: str = "ts", every: str = SCAN_EVERY, late: str = "1 minute") -> DataFrame:
+    """One scan of a page for a burst of its changes: the last row of each run of changes without a pause of ``every``."""
+    others = [c for c in scans.columns if c not in (page, time)]
+    runs = scans.withWatermark(time, late).groupBy(page, F.session_window(time, every).alias("w")).agg(F.max_by(F.struct(time, *others), F.col(time)).alias("r"))
+    return runs.select(page, "r.*")
+
+
+def since_reset(marks: DataFrame, resets: DataFrame, by: str = "tab", time: str = "ts") -> DataFrame:
+    """Marks (what a tab has seen) that are still valid: those not older than the last reset of their tab (a navigation, or a change of a list).
+
+    Resets without a tab hold for all tabs; tabs without a reset keep all their marks.
+    """
+    own = resets.where(F.col(by).isNotNull()).groupBy(by).agg(F.max(time).alias("__own"))
+    every = resets.where(F.col(by).isNull()).agg(F.max(time).alias("__every"))  # one row
+    rows = marks.join(own, by, "left").join(F.broadcast(every))
+    last = F.greatest("__own", "__every")
+    return rows.where(last.isNull() | (F.col(time) >= last)).drop("__own", "__every")
+
+
+def with_static(stream: DataFrame, read: Callable[[], DataFrame], apply: Callable[[DataFrame, DataFrame], DataFrame], write: Callable[[DataFrame, int], None], folder: str) -> DataStreamWriter:
+    """A writer that reads a table (a feed, a list) anew for every micro-batch.
+
+    What was read is written to ``folder``, in which the last two good copies stay; a failed
+    read is logged and the last good copy used, also after a restart.
+    """
+
+    def copies(spark: SparkSession) -> list[tuple[int, str]]:
+        """Whole copies, oldest first."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+        done = [(int(n.getName().removeprefix("copy-")), n.toString()) for n in names if n.getName().startswith("copy-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
+        return sorted(done)
 
     def batch(rows: DataFrame, epoch: int) -> None:
+        spark = rows.sparkSession
         try:
-            side = read()
-            side.limit(1).count()
-            kept["side"] = side
-        except Exception:
-            if "side" not in kept:
+            read().write.mode("overwrite").parquet(f"{folder}/copy-{epoch}")
+        except (PySparkException, Py4JJavaError, OSError) as e:
+            logging.getLogger(__name__).warning("the table can't be read, the last good copy is used: %s", e)
+            if not copies(spark):
                 raise
-        write(apply(rows, kept["side"]), epoch)
+        kept = copies(spark)
+        write(apply(rows, spark.read.parquet(kept[-1][1])), epoch)
+        for _, gone in kept[:-2]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(gone)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return stream.writeStream.trigger(processingTime=SCAN_EVERY).foreachBatch(batch)
 
@@ -65,18 +102,16 @@ def with_static(stream: DataFrame, read: Callable[[], DataFrame], apply: Callabl
 def history_writer(verdicts: DataFrame, path: str, **options) -> DataStreamWriter:
     """Keeps the rolling history as a table: every micro-batch is folded into version ``epoch`` from the version before.
 
-    A micro-batch that runs again rewrites its own version, so the result doesn't depend on retries.
+    An entry keeps the place of its first scan from batch to batch. A micro-batch that runs
+    again rewrites its own version, so the result doesn't depend on retries.
     """
 
     def merge(rows: DataFrame, epoch: int) -> None:
-        spark = rows.sparkSession
+        spark, old = rows.sparkSession, None
         if epoch > 0:
-            try:
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch={epoch - 1}")
+            if before.getFileSystem(spark._jsc.hadoopConfiguration()).exists(before):
                 old = spark.read.parquet(f"{path}/epoch={epoch - 1}")
-                rows = rows.unionByName(old.drop("position"), allowMissingColumns=True)
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-        history(rows, **options).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        history(rows, old=old, **options).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return verdicts.writeStream.foreachBatch(merge)

@@ -24,9 +24,9 @@ def clean_mail(text: Column) -> Column:
 
 
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
-    """Messages (path, subject, body) of mbox files, cut at their ``From `` lines."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    each = files.select("path", F.explode(F.split("value", r"(?m)^From [^\n]*\n")).alias("m")).where(F.trim("m") != "")
+    """Messages (path, subject, body) of mbox files, which are cut at their ``From `` lines while they are read, also large ones by several tasks."""
+    files = spark.read.option("lineSep", "\nFrom ").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    each = files.select("path", F.regexp_replace("value", r"^[^\n]*\n?", "").alias("m")).where(F.trim("m") != "")
     head, body = F.split("m", r"\r?\n\r?\n", 2)[0], F.coalesce(F.get(F.split("m", r"\r?\n\r?\n", 2), F.lit(1)), F.lit(""))
     return each.select("path", F.regexp_extract(head, r"(?im)^Subject:[ \t]*([^\r\n]*)", 1).alias("subject"), body.alias("body"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .feed import sized
+
 # Export columns in order.
 HISTORY_COLUMNS = ("timestamp", "verdict", "score", "sender", "source", "tier", "text", "explanation")
 MARK = "﻿"
@@ -40,13 +42,20 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | tuple[str, ...] | N
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """RFC 4180 records with line ends in cells; a leading block of ``#`` lines is passed over, later ones are data."""
-    body = spark.read.text(path, wholetext=True)
-    cleaned = body.select(F.regexp_replace(F.regexp_replace("value", f"^{MARK}", ""), r"^(?:[ \t]*#[^\n]*\r?\n|[ \t]*\r?\n)+", "").alias("value"))
-    records = F.regexp_extract_all("value", F.lit(r'((?:"(?:[^"]|"")*+"|[^",\r\n]*+)(?:,(?:"(?:[^"]|"")*+"|[^",\r\n]*+))*+)(?:\r?\n|$)'), F.lit(1))
-    every = cleaned.select(F.posexplode(records).alias("at", "record")).where("record != '' and at > 0")
-    parsed = every.select(F.from_csv("record", schema, {"escape": '"', "multiLine": "true"}).alias("r"))
-    return parsed.select("r.*")
+    """RFC 4180 records with line ends in cells, by a streaming parser; each file has a header.
+
+    A block of ``#`` lines before the header is passed over, later ones are data. Cells
+    beyond the schema are dropped, missing ones are null.
+    """
+    fields = T.StructType.fromDDL(schema).fields
+    texts = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(fields))])
+    read = spark.read.schema(texts).options(multiLine=True, quote='"', escape='"', header=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxColumns=20480)
+    rows = read.csv(path).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    # A file is read by one task in order, so its header is the first row that is no comment.
+    first = F.ltrim(F.regexp_replace(F.coalesce("c0", F.lit("")), f"^{MARK}", ""))
+    heads = rows.where(~first.startswith("#") & ((first != "") | F.lit(len(fields) > 1) & F.col(f"c{len(fields) - 1}").isNotNull())).groupBy("file").agg(F.min("at").alias("head"))
+    data = rows.join(sized(heads), "file").where("at > head")
+    return data.select(*[F.col(f"c{i}").cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
 
 
 def labelled(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PAGE_EMAIL
+from ..functions.text import PAGE_EMAIL, let
 
 # Limits and hints of the page collector.
 TEXT_LIMIT, LINK_LIMIT, EMAIL_LIMIT = 20_000, 200, 20
@@ -211,10 +211,17 @@ def messages_of(html: str | None, name: str) -> list[dict]:
 
 
 def message_id(prefix: Column, text: Column, sender: Column) -> Column:
-    """A 32-bit hash of sender and the start of the text, in base 36."""
-    chars = F.split(F.concat(F.coalesce(sender, F.lit("")), F.lit("|"), F.substring(text, 1, ID_CHARS)), "")
+    """A 32-bit hash, in base 36, of the UTF-16 units of the sender and of the start of the text."""
+    spelt = lambda c: F.encode(c, "UTF-16BE")
+    data = F.concat(spelt(F.concat(F.coalesce(sender, F.lit("")), F.lit("|"))), F.substring(spelt(text), 1, 2 * ID_CHARS))
     wrap = lambda x: F.pmod(x + (1 << 31), F.lit(1 << 32)) - (1 << 31)
-    h = F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(5381).cast("long"), lambda a, c: wrap(a * 33 + F.ascii(c)))
+
+    def hashed(d: Column) -> Column:
+        unit = lambda i: F.conv(F.hex(F.substr(d, 2 * i + 1, F.lit(2))), 16, 10).cast("long")
+        places = F.sequence(F.lit(0), (F.octet_length(d) / 2).cast("int") - 1)
+        return F.aggregate(places, F.lit(5381).cast("long"), lambda a, i: wrap(a * 33 + unit(i)))
+
+    h = let(data, hashed)
     return F.concat(prefix, F.lit("-"), F.lower(F.conv(F.pmod(h, F.lit(1 << 32)).cast("string"), 10, 36)))
 
 

@@ -1,13 +1,16 @@
 """End-to-end plans, policy, pages, model, CSV and streams."""
 
 import math
+import shutil
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from scamsift.functions import text as text_functions
 from scamsift.operators import evaluate, fusion, model, policy, rules
 from scamsift.plans import fixtures, score
-from scamsift.sources import csv_io, feed, pages
-from scamsift.streaming import health
+from scamsift.sources import corpus, csv_io, feed, pages
+from scamsift.streaming import health, messages
 
 MSG = "msg_id int, text string, sender string"
 
@@ -137,3 +140,119 @@ def test_training_separates(spark, sf):
 def test_curve():
     assert abs(100 * (1 - math.exp(-1.12 / 2.6)) - 35) < 0.5 and abs(100 * (1 - math.exp(-2.73 / 2.6)) - 65) < 0.5
     assert len({r.id for r in rules.RULES}) == 23
+
+
+def test_history_goes_on_from_batch_to_batch(spark, tmp_path):
+    shape = "msg_id int, timestamp timestamp, text string, sender string, source string, score int"
+    day = lambda i: datetime(2024, 1, i + 1)
+    batches = [[(0, day(0), "a", "s", "manual", 1), (1, day(1), "b", "s", "manual", 2)], [(2, day(2), "c", "s", "manual", 3), (3, day(3), "a", "s", "manual", 4)], [(4, day(4), "b", "s", "manual", 5)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, shape).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = messages.history_writer(stream, str(tmp_path / "out"), keep=3).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = [(r.text, r.score, r.position) for r in spark.read.parquet(str(tmp_path / "out/epoch=2")).orderBy("position").collect()]
+    assert got == [("a", 4, 0), ("b", 5, 1), ("c", 3, 2)]  # a scan that comes again stays in its place
+    whole = policy.history(spark.createDataFrame([r for b in batches for r in b], shape), keep=3)
+    assert got == [(r.text, r.score, r.position) for r in whole.orderBy("position").collect()]
+
+
+def test_side_table_survives_a_broken_source(spark, tmp_path):
+    spark.createDataFrame([(1,)], "k int").write.parquet(str(tmp_path / "in/0"))
+    spark.createDataFrame([("x", 1)], "v string, k int").write.parquet(str(tmp_path / "side"))
+    stream = spark.readStream.schema("k int").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    seen = []
+
+    def go():
+        writer = messages.with_static(stream, lambda: spark.read.parquet(str(tmp_path / "side")), lambda rows, side: rows.join(side, "k"), lambda df, epoch: seen.extend((epoch, r.v) for r in df.collect()), str(tmp_path / "kept"))
+        q = writer.option("checkpointLocation", str(tmp_path / "ck")).start()
+        q.processAllAvailable()
+        q.stop()
+
+    go()
+    shutil.rmtree(tmp_path / "side")
+    spark.createDataFrame([(1,)], "k int").write.parquet(str(tmp_path / "in/1"))
+    go()
+    assert [v for _, v in seen].count("x") >= 2 and len({e for e, _ in seen}) >= 2
+
+
+def test_settled_pages_and_resets(spark):
+    t = lambda ms: datetime(2024, 1, 1) + timedelta(milliseconds=ms)
+    scans = spark.createDataFrame([("p", t(0), 1), ("p", t(500), 2), ("p", t(1600), 3), ("p", t(9000), 4), ("q", t(0), 5)], "page string, ts timestamp, n int")
+    assert sorted(r.n for r in messages.settled(scans).collect()) == [3, 4, 5]
+    marks = spark.createDataFrame([("a", t(0), 1), ("a", t(50), 2), ("b", t(0), 3), ("c", t(40), 4)], "tab string, ts timestamp, n int")
+    resets = spark.createDataFrame([("a", t(20)), (None, t(5))], "tab string, ts timestamp")
+    assert sorted(r.n for r in messages.since_reset(marks, resets).collect()) == [2, 4]
+    assert messages.since_reset(marks, resets.limit(0)).count() == 4
+
+
+def test_opinions_are_held_to_their_contract(spark):
+    v = score.score(spark.createDataFrame([(i, "hi " * 9000) for i in range(4)], "msg_id int, text string"))
+    o = spark.createDataFrame([(0, 250.0, None, list("abcd"), None, False, True), (1, -5.0, "e", None, "a", False, True), (2, float("nan"), "e", [], "a", False, True)], "msg_id int, score double, explanation string, reasons array<string>, advice string, failed boolean, sent boolean")
+    got = {r.msg_id: r for r in fusion.merge_opinions(v, o).collect()}
+    assert [got[i].score for i in range(3)] == [100, 0, 0] and [r.detail for r in got[0].reasons] == ["a", "b", "c"] and got[0].explanation == "" and got[3].tier == "local"
+    asked = fusion.opinion_requests(v.withColumn("escalate", F.lit(True))).first()
+    assert len(asked.text) == 12_000 and asked.signals == []
+
+
+def test_analysis_obeys_settings(spark):
+    rows = spark.createDataFrame([(0, "see http://bad.example.com/a", "x"), (1, "see http://bit.ly/q", "x"), (2, "aa bb cc", "x"), (3, "buy a gift card and send the code", "Ok@x"), (4, "hi", "bad@x")], "msg_id int, text string, sender string")
+    feed_ = spark.createDataFrame([("http://bad.example.com/a",)], "entry string")
+    moved = spark.createDataFrame([("https://bit.ly/q", "http://paypa1.com/login")], "url string, destination string")
+    w = model.Weights(spark.createDataFrame([(t, i, 1.0, 90.0) for i, t in enumerate(("aa", "bb", "cc"))], "term string, idx int, idf double, coef double"), 0.0)
+    o = spark.createDataFrame([(2, 90.0, "e", ["odd"], "a", False, True)], "msg_id int, score double, explanation string, reasons array<string>, advice string, failed boolean, sent boolean")
+    base = policy.Settings(allowlist=("ok@X",), blocklist=("bad@x",))
+    run = lambda s: {r.msg_id: r for r in score.analyze(rows, s, w, feed_, moved, o).collect()}
+    some = run(base)
+    assert [some[i].gate for i in range(5)] == ["score", "score", "score", "allow", "block"] and some[0].verdict == "safe" and some[2].verdict == "suspicious" and some[3].verdict is None and some[4].score == 100
+    every = run(base.merged({"use_feed": True, "resolve_shorteners": True, "second_opinion": True, "min_severity": "dangerous", "other": 1}))
+    assert every[0].verdict == "dangerous" and every[1].verdict == "dangerous" and (every[2].score, every[2].tier) == (90, "second-opinion") and [every[i].shown for i in range(5)] == [True, True, True, False, True]
+    assert run(base.merged({"use_model": False}))[2].score == 0
+
+
+def test_rules_in_batches_are_those_in_columns(spark):
+    texts = [t.replace("~n", "123").replace("~u", "7") for _, _, t in fixtures.TEMPLATES] + ["", "share your otp. do not tell anyone", "never share your otp with anyone. do not tell anyone about this", "parcel delayed. pay the fee. reschedule it", "crypto now. send it. you", "fire in firm"]
+    df = spark.createDataFrame(list(enumerate(texts)), "msg_id int, text string").select("msg_id", text_functions.rule_text(F.col("text")).alias("t"))
+    every = (*rules.RULES, *rules.EXONERATING)
+    no = {"has_credential_form": F.lit(False), "on_official_domain": F.lit(False)}
+    judge = rules.Judge()
+    for part in (every[:9], every[9:18], every[18:]):
+        for r in df.select("msg_id", "t", *[x.column(F.col("t"), no).alias(x.id) for x in part]).collect():
+            held = {every[i].id for i in judge.one(r.t, {"has_credential_form": False, "on_official_domain": False})}
+            assert {x.id for x in part if r[x.id]} == held & {x.id for x in part}, r.t
+
+
+def test_words_that_patterns_need():
+    from scamsift.operators.logic import words_of
+
+    assert words_of(r"\b(?:pay|fees?)\b") == {"pay", "fee"} and words_of(r"gift\s*card|voucher") >= {"voucher"} and words_of(r"\d+|x") is None and words_of(r"ab?cd") == {"cd"}
+    assert rules.Judge().finder("zz warrant-voucher") >= {"voucher"}
+
+
+def test_corpus_from_mail_and_templates(spark, tmp_path):
+    (tmp_path / "m.mbox").write_text("From a Mon\nSubject: One\nX: y\n\nBody of one which is long enough to be kept <b>here</b>.\n> quoted\n\nFrom b Tue\r\nSubject: Two\r\n\r\nBody of two which is long enough to be kept, write to a@b.example.com.\n")
+    mails = corpus.read_mbox(spark, str(tmp_path / "m.mbox"))
+    assert sorted((r.subject, r.body[:11]) for r in mails.collect()) == [("One", "Body of one"), ("Two", "Body of two")]
+    kept = corpus.harvest(mails.union(mails), 0, 10).collect()
+    assert len(kept) == 2 and any("<email>" in r.text for r in kept) and not any("quoted" in r.text for r in kept) and corpus.harvest(mails, 0, 1).count() == 1
+    made = corpus.from_templates(spark, [("pay {who} now", 1), ("hi {who}", 0)], {"who": ["a", "b", "c"]}, 6)
+    assert made.count() == made.distinct().count() <= 6 and {r.label for r in made.collect()} <= {0, 1}
+
+
+def test_weights_are_kept(spark, tmp_path):
+    w = model.Weights(spark.createDataFrame([("aa", 0, 1.23456789, -0.5), ("bb", 1, 1.0, 0.0)], "term string, idx int, idf double, coef double"), 0.25)
+    model.save(w, str(tmp_path / "w"))
+    back = model.load(spark, str(tmp_path / "w"))
+    assert {tuple(r) for r in back.terms.collect()} == {("aa", 0, 1.234568, -0.5), ("bb", 1, 1.0, 0.0)} and back.intercept == 0.25 and model.describe(back, note="x")["vocab_size"] == 2
+    rows = spark.createDataFrame([(f"{w} {x} one two three", y) for y, w in ((0, "calm"), (1, "rush")) for x in ("aa", "bb", "cc", "dd", "ee", "ff", "gg", "hh")], "text string, label int")
+    assert len(evaluate.cross_validate(rows, folds=2, min_df=1, max_iter=20)) == 2
+
+
+def test_odd_message_ids(spark):
+    df = spark.createDataFrame([("😀 hi", "a")], "t string, s string")
+    got = df.select(pages.message_id(F.lit("gm"), F.col("t"), F.col("s")).alias("x")).first().x
+    data, h = "a|😀 hi".encode("utf-16-be"), 5381
+    for i in range(0, len(data), 2):
+        h = (h * 33 + int.from_bytes(data[i : i + 2], "big")) & 0xFFFFFFFF
+    assert int(got.removeprefix("gm-"), 36) == h

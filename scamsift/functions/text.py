@@ -33,6 +33,8 @@ INDIC_MARKS = (
     r"ഀ-ഃ഻-഼ാ-ൄെ-ൈൊ-്ൗൢ-ൣඁ-ඃ්ා-ුූෘ-ෟෲ-ෳ"
 )
 TOKEN = rf"[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_{INDIC_MARKS}]+"
+#: The same for Java, which tries the many ranges of marks only on characters beyond ASCII.
+FAST_TOKEN = rf"[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}_]++|(?![\x00-\x7F])[{INDIC_MARKS}]++)+"
 # Extractor patterns, with bounded repeats so that they stay linear.
 DOMAIN = r"(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.){1,10}[a-zA-Z]{2,24}"
 EMAIL = rf"[a-zA-Z0-9._%+-]{{1,64}}@{DOMAIN}"
@@ -113,7 +115,7 @@ def rule_text(text: Column, unicode: bool = True, confusables: dict[str, str] |
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(FAST_TOKEN), F.lit(0))
 
 
 def ngrams(words: Column, longest: int = 2) -> Column:

@@ -83,7 +83,7 @@ def page_signals(domain: Column, title: Column, shown_title: Column, lead: Colum
     counts; without one, a form that posts to an unrelated domain may.
     """
     ok = (F.size(credentials) > 0) & (F.length(body) <= THIN)
-    asks = F.when(F.array_contains(credentials, "password"), F.when(F.array_contains(credentials, "otp"), "a password and a one-time code").otherwise("a password")).otherwise("a one-time code")
+    asks = F.when(F.array_contains(credentials, "password"), F.when(F.array_contains(credentials, "otp"), "the password and the code sent to you").otherwise("the password")).otherwise("the code sent to you")
     foreign = F.get(F.filter(form_domains, lambda d: (d != "") & (d != domain)), F.lit(0))
     claims = [
         F.when(~F.array_contains(flagged, name) & ~domain.isin(*domains) & claims_identity(aliases, shown_title, lead),

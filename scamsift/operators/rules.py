@@ -98,6 +98,7 @@ _PAY_WORDS = rf"{SEND}|bhar|भर|pay\b"
 _FEE_KINDS = r"file|delivery|clearance|क्लियरेंस|processing"
 
 _credential = Has(CREDENTIAL_TRANSMIT) | (~Known("has_credential_form") & Has(CREDENTIAL_ENTRY))
+# The patterns in these bodies and in the rules below; the trees that hold them are structure.
 _parcel_failed = Has(r"\b(?:could\s*not|couldn'?t|cannot|can'?t|failed|unsuccessful|unable\s*to|attempt(?:ed)?|on\s*hold|pending|held|suspended|incomplete|incorrect\s*address)\b|address\s*verification") | Has("रुका|अटका|लंबित|पेंडिंग|होल्ड")
 _parcel_action = Has(r"reschedul|re-?dispatch|re-?deliver|\bconfirm(?!ation)|\bverif|update\s*your\s*address") | Has(r"रिलीज़|दोबारा\s*भेज|पता\s*अपडेट|अपडेट\s*कर")
 _parcel_payment = Has(r"\b(?:pay|paying|payment|fees?|charges?|deposit|customs|duty)\b") | Has(r"shulk|शुल्क|फ़?ीस|ड्यूटी|चार्ज|क्लियरेंस|भर(?:कर|ें|ना|ो)?")

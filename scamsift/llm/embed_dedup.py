@@ -260,6 +260,19 @@ def _links(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Reco
     yield from flush()
 
 
+def oracle(cosine: float = 0.95) -> str:
+    """``near_duplicates`` as DuckDB SQL over ``embeddings``, by all pairs: for small tables."""
+    return f"""
+    WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, embedding :: DOUBLE[] AS e FROM embeddings),
+    fine AS MATERIALIZED (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x != 0)) > 0),
+    links AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM fine a JOIN fine b ON a.r != b.r WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= {cosine} ELSE false END),
+    reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+    names AS (SELECT reach.a, min(v.vec_id) AS least FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a),
+    told AS (SELECT vec_id, coalesce(n, 0) :: BIGINT AS n_links, CASE WHEN n > 0 THEN least ELSE vec_id END AS component_id FROM v LEFT JOIN counts ON counts.a = r LEFT JOIN names ON names.a = r)
+    SELECT vec_id, n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM told"""
+
+
 def _added(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[int]]:
     unique, at = np.unique(keys, return_inverse=True)
     return unique.tolist(), np.bincount(at, weights=values, minlength=len(unique)).astype(np.int64).tolist()

@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op2_mixing": mixing.oracle()}
+    return {"op1_license_scan": licenses.oracle(), "op2_mixing": mixing.oracle(), "op9_embedding_dedup": embed_dedup.oracle()}

@@ -100,7 +100,7 @@ def test_components(spark, monkeypatch):
     want = plain_components([tuple(e) for e in edges])
     df = spark.createDataFrame([tuple(e) for e in edges], "a bigint, b bigint").repartition(5)
     assert {r.node: r.root for r in common.components(df).collect()} == want
-    assert {r.node: r.root for r in common.components(df, task_edges=40).collect()} == want  # by contraction
+    assert {r.node: r.root for r in common.components(df, task_edges=300).collect()} == want  # by contraction
     monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
     monkeypatch.setattr(common.joined, "__defaults__", ("inner", 10))
     star = spark.range(1, 100_001).selectExpr("0 AS a", "id AS b")
@@ -154,6 +154,42 @@ def test_embeddings_against_all_pairs(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_against_sql(spark, sf, tmp_path):
+    df = spark.createDataFrame([(i, v) for i, v in vectors() if i is not None], "vec_id bigint, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/e")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/e/*.parquet'")
+    wide = df.selectExpr("*", "1 AS v", "2 AS same", "3 AS c", "4 AS root", "5 AS KEPT")
+    assert Counter(con.sql(embed_dedup.oracle()).fetchall()) == Counter(map(tuple, embed_dedup.near_duplicates(wide).collect()))
+    con.sql(f"create or replace view embeddings as select * from '{sf}/embeddings.parquet'")
+    assert Counter(con.sql(queries.oracle_sql()["op9_embedding_dedup"]).fetchall()) == Counter(map(tuple, queries.op9_embedding_dedup(spark, sf).collect()))
+
+
+def test_clashing_columns_of_fingerprints_and_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y", "z", 7, 8), (2, "a b c", "x", "y", "z", 7, 8), (3, None, "x", "y", "z", 7, 8)], "doc_id bigint, text string, fp string, __fp string, root string, __place int, __LANE int")
+    assert sorted(r.component_id for r in simhash.near_duplicates(docs).collect()) == [1, 1, 3]
+    moved = sharding.shuffle_documents(docs.selectExpr("*", "5 AS Shard", "6 AS slot"), folder=f"{tmp_path}/s")
+    assert moved.columns == [*docs.columns, "slot", "shard"] and Counter(tuple(r)[:-2] for r in moved.collect()) == Counter(map(tuple, docs.collect()))
+
+
+CONTRACT = {
+    "op3_quality_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op4_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    "op5_quality_classifier": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op6_secrets": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
+    "op7_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op8_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op9_embedding_dedup": {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op10_sharding": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+}
+
+
+def test_contract_of_all_queries(spark, sf):
+    for name, want in CONTRACT.items():
+        got = dict(queries.queries()[name](spark, sf).dtypes)
+        assert {c: got.get(c) for c in want} == want, name
+
+
 def test_embeddings_of_one_direction_and_narrow_trees(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(3, 8))

@@ -125,6 +125,11 @@ def test_odd_texts_and_clashing_columns(spark):
     assert [c for c in scored.columns if c.lower() == "score"] == ["score"] and scored.where("score = 0.5").count() == len(ODD)
     assert secrets.find_secrets(docs).count() == len(ODD)
     assert bpe.encode_documents(docs, queries.tokenizer()).where("text is null").select("n_tokens").collect() == [(0,)]
+    none = langid.train_texts({})
+    for made in (quality_qda.quality_score(docs.limit(0), quality_qda.fit(np.zeros((0, 12)), np.zeros(0, int))), langid.identify(docs.limit(0), none), bpe.encode_documents(docs.limit(0), queries.tokenizer())):
+        assert made.count() == 0
+    twice = quality_qda.quality_score(docs.union(docs), quality_qda.fit(np.zeros((0, 12)), np.zeros(0, int)))
+    assert twice.count() == 2 * len(ODD)
     for made in (quality_rules.quality_rules(docs.limit(0), model), secrets.find_secrets(docs.limit(0)), licenses.scan_licenses(docs.limit(0))):
         assert made.count() == 0
 

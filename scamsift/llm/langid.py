@@ -34,6 +34,8 @@ UNKNOWN = "und"
 CHUNK = 1 << 20
 #: A score is the posterior of a stretch of this many bytes with the text's average code lengths.
 STRETCH = 64
+#: Bits by which noise is less likely than a language before a text is read.
+NOISE_BITS = 16.0
 
 
 def runs(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -177,9 +179,10 @@ def identify(docs: DataFrame, model: ContextTrees, text: str = "text") -> DataFr
     """``docs`` with lang_pred and score.
 
     The language with the shortest code is predicted; of equally short ones the first in
-    alphabetical order. The score is its posterior, with equal priors, against the other
-    languages and against bytes without any context (noise), for a stretch of ``STRETCH``
-    bytes with the text's average code lengths (a shorter text counts as it is). A text that
+    alphabetical order. The score is its posterior against the other languages, with equal
+    priors, and against bytes without any context (noise, ``NOISE_BITS`` less likely), for a
+    stretch of ``STRETCH`` bytes with the text's average code lengths (a shorter text counts
+    as it is). A text that
     is half one language and half another has a low score, however long it is, and so has
     gibberish. ``und`` with score 0 where the text is null or has no letter, or nothing was
     learned. Columns of these names are replaced, others stay, whatever their names; repeated
@@ -195,6 +198,7 @@ def identify(docs: DataFrame, model: ContextTrees, text: str = "text") -> DataFr
         best = bits[:, :-1].argmin(axis=1)
         length = np.maximum(1, pc.binary_length(lower).to_numpy(zero_copy_only=False))
         gap = (bits - bits[np.arange(len(bits)), best][:, None]) * np.minimum(1, STRETCH / length)[:, None]
+        gap[:, -1] += NOISE_BITS
         score = 1 / np.exp2(-np.clip(gap, -1000, 1000)).sum(axis=1)
         names = [model.langs[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), letter.tolist(), strict=True)]
         return [pa.array(names, pa.string()), pa.array(np.where(letter, np.minimum(1.0, score), 0.0))]

@@ -12,7 +12,7 @@ from scamsift.plans.queries import QUERIES, SQL
 NAMES = (
     "q_normalize_msgs", "q_rule_text", "q_extract_emails", "q_extract_phones", "q_extract_urls", "q_tokens_topk", "q_bigrams_topk", "q_truncate", "q_relative_time", "q_usable_messages", "q_rule_secrecy_request",
     "q_rule_delivery_redispatch_fee", "q_registrable_domain", "q_lookalike", "q_url_signals", "q_feed_entries", "q_feed_hits", "q_redirect_join", "q_idf", "q_lr_score", "q_allow_block", "q_history", "q_csv_guard", "q_csv_lines",
-    "q_health", "q_session_scans", "q_recycled_nodes", "q_verdicts", "q_page_verdicts",
+    "q_health", "q_session_scans", "q_recycled_nodes", "q_verdicts", "q_page_verdicts", "q_rule_hits", "q_public_suffix", "q_clean_mail", "q_rates_by_script", "q_page_holdout",
 )
 
 

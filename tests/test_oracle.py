@@ -5,9 +5,11 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import pyspark
 import pytest
 
-from scamsift.plans.queries import QUERIES, SQL
+from scamsift.functions.domains import public_suffixes
+from scamsift.plans.queries import QUERIES, SQL, _suffix_sql
 
 NAMES = (
     "q_normalize_msgs", "q_rule_text", "q_extract_emails", "q_extract_phones", "q_extract_urls", "q_tokens_topk", "q_bigrams_topk", "q_truncate", "q_relative_time", "q_usable_messages", "q_rule_secrecy_request",
@@ -39,3 +41,10 @@ def test_query(spark, sf, tables, name):
 
 def test_all_queries_have_distinct_plans_or_sql():
     assert set(SQL) <= set(QUERIES) and len(QUERIES) - len(SQL) <= 5
+
+
+def test_suffix_sql_is_the_same_without_spark_archives(monkeypatch, tmp_path):
+    """SQL may be made by a process whose ``pyspark`` is an archive, without Spark's libraries beside it."""
+    monkeypatch.setattr(pyspark, "__file__", str(tmp_path / "pyspark.zip" / "pyspark" / "__init__.py"))
+    assert _suffix_sql() == SQL["q_public_suffix"]
+    assert all(f"'{rule}'" in SQL["q_public_suffix"] for rule in public_suffixes()) and len(public_suffixes()) == 9467

@@ -10,6 +10,7 @@ import pytest
 
 from scamsift.functions.domains import public_suffixes
 from scamsift.plans.queries import QUERIES, SQL, _suffix_sql
+from scamsift.sources import pages
 
 NAMES = (
     "q_normalize_msgs", "q_rule_text", "q_extract_emails", "q_extract_phones", "q_extract_urls", "q_tokens_topk", "q_bigrams_topk", "q_truncate", "q_relative_time", "q_usable_messages", "q_rule_secrecy_request",
@@ -48,3 +49,16 @@ def test_suffix_sql_is_the_same_without_spark_archives(monkeypatch, tmp_path):
     monkeypatch.setattr(pyspark, "__file__", str(tmp_path / "pyspark.zip" / "pyspark" / "__init__.py"))
     assert _suffix_sql() == SQL["q_public_suffix"]
     assert all(f"'{rule}'" in SQL["q_public_suffix"] for rule in public_suffixes()) and len(public_suffixes()) == 9467
+
+
+def test_page_titles_with_odd_references_and_spaces(spark, tmp_path):
+    titles = ("a &amp", "a &quot", "a &am", "&", "&&amp;&lt;b&gt; &amp;lt; &amp;amp;", "Tom&#x27;s &eacute;t&eacute; &nbsp; &copy", "\n a\t\r\n b \n", " \u00a0 a \u00a0 b\u2003", "a\u0085\x0bb\u2028", "")
+    htmls = [f"<html><head><title>{t}</title></head><body><a href='x?a=1&copy=2'>{t}</a><svg><title>not this</title></svg></body></html>" for t in titles]
+    spark.createDataFrame(list(enumerate([*htmls, "<p>no title</p>", "", None])), "page_id long, html string").selectExpr("page_id", "'http://a.com/' as url", "html").write.parquet(str(tmp_path / "pages.parquet"))
+    got = QUERIES["q_page_titles"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(SQL["q_page_titles"])
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+    shown = pages.collect_page("<title>\n Q&amp A&eacute;\u00a0\u00a0b </title><title>c</title>", None)
+    assert shown["title"] == "Q& Aé\u00a0\u00a0b" and pages.collect_page("<title></title><title>c</title>", None)["title"] == ""
